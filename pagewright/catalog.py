@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pagewright.operators import snapshot_diff
+from pagewright.operators import schema_drift, snapshot_diff, timestamps
 
 
 def queries() -> dict:
-    return {"p1_found": snapshot_diff.p1_found}
+    return {
+        "p1_found": snapshot_diff.p1_found,
+        "p4_found": timestamps.p4_found,
+        "p7_found": schema_drift.p7_found,
+        "p7_configs": schema_drift.p7_configs,
+        "p7_records": schema_drift.p7_records,
+    }
 
 
 def oracle_sql() -> dict:
