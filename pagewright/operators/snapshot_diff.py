@@ -150,7 +150,7 @@ def diff_snapshots(items: DataFrame, width: int = 16, rounds: int = 3) -> DataFr
     return kinds.select("series", "seq", "kh", F.when(F.col("hi") != F.col("lo"), "changed").when(F.col("hi") > 0, "added").otherwise("removed").alias("kind"))
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def payload_hash(payloads: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """64-bit hash of a payload's fields by name and JSON value; null, absent and an empty object are the same."""
     import xxhash

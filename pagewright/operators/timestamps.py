@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagewright.functions.urls import host_of
 from pagewright.sources.tables import table
@@ -185,7 +186,7 @@ class Clock:
         return found.pop() if len(found) == 1 else None
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def to_utc_us(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """(text, site's zone name, site's date order) to microseconds since 1970 UTC, null where the text is no one moment."""
     clock = Clock()
