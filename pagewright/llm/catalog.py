@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pagewright.llm import confusables, mojibake
+from pagewright.llm import confusables, mojibake, residue
 
 
 def queries() -> dict:
     return {
         "p2_found": confusables.p2_found,
         "p2_normalized": confusables.p2_normalized,
+        "p3_found": residue.p3_found,
+        "p3_kept": residue.p3_kept,
         "p5_found": mojibake.p5_found,
         "p5_restored": mojibake.p5_restored,
     }
