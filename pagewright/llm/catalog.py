@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagewright.llm import confusables, mojibake, residue
+from pagewright.llm import confusables, mojibake, residue, tokenize
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "p3_kept": residue.p3_kept,
         "p5_found": mojibake.p5_found,
         "p5_restored": mojibake.p5_restored,
+        "p8_ids": tokenize.p8_ids,
     }
 
 
