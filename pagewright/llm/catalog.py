@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagewright.llm import confusables, mojibake, residue, tokenize
+from pagewright.llm import chunking, confusables, keyword_spam, leakage, mojibake, residue, tokenize
 
 
 def queries() -> dict:
@@ -13,7 +13,12 @@ def queries() -> dict:
         "p3_kept": residue.p3_kept,
         "p5_found": mojibake.p5_found,
         "p5_restored": mojibake.p5_restored,
+        "p6_found": chunking.p6_found,
+        "p6_pieces": chunking.p6_pieces,
         "p8_ids": tokenize.p8_ids,
+        "p9_found": leakage.p9_found,
+        "p9_report": leakage.p9_report,
+        "p10_found": keyword_spam.p10_found,
     }
 
 
