@@ -3,17 +3,26 @@
 from __future__ import annotations
 
 from pagewright.operators import schema_drift, snapshot_diff, timestamps
+from pagewright.plans import queries_scalar
+
+PARTS = [queries_scalar.R]
 
 
 def queries() -> dict:
-    return {
+    out = {
         "p1_found": snapshot_diff.p1_found,
         "p4_found": timestamps.p4_found,
         "p7_found": schema_drift.p7_found,
         "p7_configs": schema_drift.p7_configs,
         "p7_records": schema_drift.p7_records,
     }
+    for part in PARTS:
+        out |= part.run
+    return out
 
 
 def oracle_sql() -> dict:
-    return {}
+    out: dict = {}
+    for part in PARTS:
+        out |= part.sql
+    return out

@@ -110,7 +110,7 @@ def backoff_ms(attempt: Column, base: int, most: int) -> Column:
 
 def retry_after_ms(c: Column, now: Column) -> Column:
     """``Retry-After`` as seconds or as an HTTP date, never negative; null where it is neither."""
-    date = F.try_to_timestamp(c, F.lit("EEE, dd MMM yyyy HH:mm:ss 'GMT'"))
+    date = F.try_to_timestamp(F.regexp_replace(c, "^[A-Z][a-z]{2}, ", ""), F.lit("d MMM yyyy HH:mm:ss 'GMT'"))
     seconds = F.when(F.rlike(c, F.lit(r"^\s*\d+(\.\d+)?\s*$")), F.trim(c).try_cast("double") * 1000)
     return F.greatest(F.lit(0), F.coalesce(seconds, (F.unix_millis(date) - F.unix_millis(now)).cast("double"))).cast("long")
 
@@ -136,12 +136,16 @@ def env_key(c: Column, prefix: str = "") -> Column:
     return F.concat(F.lit(prefix), F.upper(F.regexp_replace(c, r"[-\s]", "_")))
 
 
-def grounding(raw: Column, source: Column) -> Column:
-    """Why a text is not grounded in its source, null where it is: empty-source, empty-text or not-in-source."""
-    text, page = normalize_whitespace(raw), normalize_whitespace(source)
+def grounded_in(text: Column, page: Column) -> Column:
+    """Why a text is not grounded in its page, both normalized; null where it is: empty-source, empty-text or not-in-source."""
     return F.when(F.coalesce(page, F.lit("")) == "", "empty-source").when(F.coalesce(text, F.lit("")) == "", "empty-text").when(~F.contains(page, text), "not-in-source")
 
 
+def grounding(raw: Column, source: Column) -> Column:
+    """The same of texts as they stand."""
+    return grounded_in(normalize_whitespace(raw), normalize_whitespace(source))
+
+
 def confidence(rank: Column, n: Column, grounded: Column, validated: Column) -> Column:
     """Score of a field: less for a late locator, much less without grounding, a little more with a passed rule."""
     late = F.when(n > 1, rank / F.greatest(F.lit(1), n - 1) * 0.2).otherwise(F.lit(0.0))

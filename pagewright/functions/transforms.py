@@ -17,6 +17,11 @@ NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 ISO = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
 
 
+def let(c: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often ``body`` names it."""
+    return F.get(F.transform(F.array(c), body), 0)
+
+
 def trim(c: Column) -> Column:
     return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
 
@@ -33,32 +38,34 @@ def strip_currency(c: Column) -> Column:
 
 def js_number(c: Column) -> Column:
     """A text as a number: blank is 0, 0x, 0b and 0o are bases, anything else that is no number is null."""
-    t = trim(c)
-    based = lambda prefix, base, digits: F.when(F.rlike(t, F.lit(f"^0[{prefix}]{digits}+$")), F.conv(F.substr(t, F.lit(3)), base, 10).try_cast("double"))
-    return F.coalesce(
-        F.when(t == "", F.lit(0.0)), F.when(F.rlike(t, F.lit(NUMBER)), t.try_cast("double")), based("xX", 16, "[0-9a-fA-F]"), based("bB", 2, "[01]"), based("oO", 8, "[0-7]")
-    )
+
+    def number(t: Column) -> Column:
+        based = lambda prefix, base, digits: F.when(F.rlike(t, F.lit(f"^0[{prefix}]{digits}+$")), F.conv(F.substr(t, F.lit(3)), base, 10).try_cast("double"))
+        return F.coalesce(
+            F.when(t == "", F.lit(0.0)), F.when(F.rlike(t, F.lit(NUMBER)), t.try_cast("double")), based("xX", 16, "[0-9a-fA-F]"), based("bB", 2, "[01]"), based("oO", 8, "[0-7]")
+        )
+
+    return let(trim(c), number)
 
 
 def finite(c: Column) -> Column:
-    return F.when(~F.isnan(c) & (F.abs(c) != F.lit(float("inf"))), c)
+    return let(c, lambda x: F.when(~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))), x))
 
 
 def to_float(c: Column) -> Column:
     """Number of a text; unlike coercion, an empty text is no number."""
-    return F.when(trim(c) != "", finite(js_number(c)))
+    return let(c, lambda x: F.when(trim(x) != "", finite(js_number(x))))
 
 
 def to_int(c: Column) -> Column:
-    x = to_float(c)
-    return F.when(x < 0, F.ceil(x)).otherwise(F.floor(x)).cast("long")
+    return let(to_float(c), lambda x: F.when(x < 0, F.ceil(x)).otherwise(F.floor(x)).cast("long"))
 
 
 def instant(c: Column) -> Column:
     """Moment of a text in one of the usual forms; without a zone it is UTC."""
-    t = trim(c)
-    forms = ["yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]XXX", "yyyy-MM-dd'T'HH:mm[:ss][.SSS]", "yyyy-MM-dd HH:mm[:ss]", "yyyy-MM-dd", "EEE, d MMM yyyy HH:mm:ss 'GMT'", "d MMM yyyy", "MMM d, yyyy", "MMMM d, yyyy"]
-    return F.coalesce(*[F.try_to_timestamp(t, F.lit(f)) for f in forms])
+    forms = ["yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]XXX", "yyyy-MM-dd'T'HH:mm[:ss][.SSS]", "yyyy-MM-dd HH:mm[:ss]", "yyyy-MM-dd", "d MMM yyyy HH:mm:ss 'GMT'", "d MMM yyyy", "MMM d, yyyy", "MMMM d, yyyy"]
+    bare = F.regexp_replace(trim(c), "^[A-Z][a-z]{2}, ", "")
+    return let(bare, lambda t: F.coalesce(*[F.try_to_timestamp(t, F.lit(f)) for f in forms]))
 
 
 def parse_date(c: Column) -> Column:
@@ -111,7 +118,7 @@ def coerce(c: Column, kind: str) -> Column:
     """Text of a value in its declared type, null where it does not fit."""
     t = F.lower(trim(c))
     n = finite(js_number(c))
-    whole = F.when((n == F.floor(n)) & (F.abs(n) <= F.lit(2.0**53)), n.cast("long"))
+    whole = let(n, lambda x: F.when((x == F.floor(x)) & (F.abs(x) <= F.lit(2.0**53)), x.cast("long")))
     forms = {
         "string": c,
         "number": n.cast("string"),
