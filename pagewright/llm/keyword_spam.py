@@ -40,31 +40,44 @@ class Looker:
     """Structure and redundancy of one text at a time."""
 
     def __init__(self):
-        self.words = re.compile(r"[^\W_]+(?:['’][^\W\d_]+)*").findall
+        self.words = re.compile(r"[^\W_]+").findall
         self.ends = re.compile(r"[.!?…](?=[\s\"')\]»”]|$)|[。！？]").findall
         self.link, self.code = re.compile(LINK, re.S), re.compile(CODE, re.I)
-        self.sentence = re.compile(r"(?<=[.!?…])\s+|(?<=[。！？])")
+        self.sentence = re.compile(r"[.!?…]\s+|[。！？]").finditer
+
+    def is_code(self, line: str) -> bool:
+        return line[-1] not in ".!?…。" and ("=" in line or ";" in line or "(" in line or "{" in line or "--" in line or ">" in line) and bool(self.code.search(line))
+
+    def sentences(self, line: str) -> list[str]:
+        out, at = [], 0
+        for m in self.sentence(line):
+            out.append(line[at : m.end()])
+            at = m.end()
+        return [*out, line[at:]] if at < len(line) else out
 
     def run(self, line: str) -> bool:
         """Whether a line is a run of links, tags or separated items, or of words without any sentence."""
-        links = self.link.findall(line)
+        links = self.link.findall(line) if "://" in line or "](" in line or "www." in line or "<a" in line else None
+        if not links and "#" not in line and len(self.ends(line)) > SENTENCES * (line.count(" ") + 1) * 1.5:
+            return False
         rest = self.link.sub(" ", line) if links else line
         words = self.words(rest)
         ends = len(self.ends(rest))
         if links:
             return len(words) <= 7 * len(links) and not ends
-        tokens = line.split()
-        tags = sum(t[0] == "#" and len(t) > 1 and t[1] != "#" for t in tokens)
-        if tags >= 4 and tags >= 0.6 * len(tokens):
-            return True
-        if ends > SENTENCES * len(words) or len(words) < 6 or self.code.search(line):
+        if line.count("#") >= 4:
+            tokens = line.split()
+            tags = sum(t[0] == "#" and len(t) > 1 and t[1] != "#" for t in tokens)
+            if tags >= 4 and tags >= 0.6 * len(tokens):
+                return True
+        if ends > SENTENCES * len(words) or len(words) < 6 or self.is_code(line):
             return False
         letters = [w for w in words if not w.isdigit()]
         if len(letters) < 0.7 * len(words):
             return False
         for s in SEPARATORS:
-            items = line.split(s)
-            if len(items) >= 6:
+            if line.count(s) >= 5:
+                items = line.split(s)
                 sizes = sorted(len(self.words(x)) for x in items)
                 if sizes[len(sizes) // 2] <= 5 and sizes[int(len(sizes) * 0.9)] <= 8:
                     return True
@@ -93,7 +106,7 @@ class Looker:
             size += len(x)
             if self.run(x):
                 runs += len(x)
-            elif len(x) <= 80 and not self.ends(x) and not self.code.search(x) and len(self.words(x)) <= 9:
+            elif len(x) <= 80 and not self.ends(x) and not self.is_code(x) and len(self.words(x)) <= 9:
                 short.append(x)
             else:
                 settle()
@@ -104,9 +117,9 @@ class Looker:
     def blocks(self, lines: list[str]) -> list[dict]:
         out, seen, now, at = [], set(), [], 0
         for x in lines:
-            if self.code.search(x):
+            if self.is_code(x):
                 continue
-            for s in self.sentence.split(x):
+            for s in self.sentences(x):
                 s = " ".join(s.split())
                 if not s or s in seen:
                     continue
@@ -124,14 +137,16 @@ class Looker:
 
     def block(self, text: str) -> dict:
         data = text.encode("utf-8")
-        words = [w.lower() for w in self.words(text)]
-        pairs = Counter(zip(words, words[1:]))
-        top = pairs.most_common(1)[0][1] if len(words) >= 20 else 0
+        size = len(text.split())
+        ratio = len(zlib.compress(data, 6)) / max(1, len(data))
+        # One pair cannot fill a block that compresses as badly as this.
+        words = self.words(text.lower()) if size >= 20 and ratio < 0.5 else []
+        top = max(Counter(zip(words, words[1:])).values(), default=0)
         return {
             "n": len(text),
             "bin": min(12, len(text).bit_length()) if len(text) < BLOCK else 12,
-            "ratio": len(zlib.compress(data, 6)) / max(1, len(data)),
-            "ends": len(self.ends(text)) / max(1, len(words)) if len(words) >= 20 else 1.0,
+            "ratio": ratio,
+            "ends": len(self.ends(text)) / size if size >= 20 else 1.0,
             "top": 2 * top / max(1, len(words)),
         }
 
