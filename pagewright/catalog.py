@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from pagewright.operators import schema_drift, snapshot_diff, timestamps
-from pagewright.plans import queries_scalar
+from pagewright.plans import queries_scalar, queries_sets
 
-PARTS = [queries_scalar.R]
+PARTS = [queries_scalar.R, queries_sets.R]
 
 
 def queries() -> dict:

@@ -64,17 +64,17 @@ def canonical(url: Column, block: list[str] = TRACKING, allow: list[str] = ()) -
 
 
 def discovery_key(url: Column) -> Column:
-    """The looser key of discovery: host in lower case, no fragment, one slash less at the end."""
+    """The looser key of discovery: host in lower case, no default port or fragment, one slash less at the end."""
     u = split_url(url)
     query = F.when(u["query"] == "", F.lit("")).otherwise(F.concat(F.lit("?"), u["query"]))
-    return F.concat(u["scheme"], F.lit("://"), u["authority"], F.regexp_replace(u["path"], "(.)/$", "$1"), query)
+    return F.concat(origin(url), F.regexp_replace(u["path"], "(.)/$", "$1"), query)
 
 
 def sitemap_key(url: Column) -> Column:
-    """The key of sitemap entries: host in lower case, no fragment."""
+    """The key of sitemap entries: host in lower case, no default port or fragment."""
     u = split_url(url)
     query = F.when(u["query"] == "", F.lit("")).otherwise(F.concat(F.lit("?"), u["query"]))
-    return F.concat(u["scheme"], F.lit("://"), u["authority"], u["path"], query)
+    return F.concat(origin(url), u["path"], query)
 
 
 def path_and_query(url: Column) -> Column:

@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.functions import dom
-from pagewright.functions.scalars import confidence, grounding
-from pagewright.functions.transforms import coerce, pipeline
+from pagewright.functions.scalars import confidence, grounded_in
+from pagewright.functions.transforms import coerce, let, normalize_whitespace, pipeline
 from pagewright.plans.expression import compile_rule
 from pagewright.plans.program import Program
 
@@ -50,18 +50,23 @@ def resolve(pages: DataFrame, program: Program, html: str = "html", url: str = "
 
 
 def _attempt(raw: Column, field, rank: int, source: Column) -> Column:
-    """struct of one locator's attempt at a field."""
-    made = pipeline(field.transform)(raw).cast("string")
-    value = coerce(made, field.type)
+    """struct of one locator's attempt at a field. Each step is bound once, so that the plan stays small."""
     typed = {"number": "double", "integer": "long", "boolean": "boolean"}.get(field.type, "string")
-    valid = compile_rule(field.validate, value.try_cast(typed), field.type) if field.validate else F.lit(True)
-    reason = grounding(raw, source)
-    result = F.when(raw.isNull(), "no-match").when(made.isNull(), "transform-failed").when(value.isNull(), "type-coercion-failed").when(~valid, "validation-failed").otherwise("ok")
-    score = confidence(F.lit(rank), F.lit(len(field.locators)), reason.isNull(), F.lit(bool(field.validate)))
-    return F.struct(
-        F.lit(rank).alias("locator_rank"), F.lit(field.locators[rank]).alias("locator"), raw.alias("raw_text"), F.when(result == "ok", value).alias("value"), result.alias("result"),
-        reason.isNull().alias("grounded"), reason.alias("grounding_reason"), score.alias("confidence"),
-    )
+
+    def judge(x: Column) -> Column:
+        valid = compile_rule(field.validate, x["value"].try_cast(typed), field.type) if field.validate else F.lit(True)
+        result = F.when(x["raw"].isNull(), "no-match").when(x["made"].isNull(), "transform-failed").when(x["value"].isNull(), "type-coercion-failed").when(~valid, "validation-failed").otherwise("ok")
+        score = confidence(F.lit(rank), F.lit(len(field.locators)), x["reason"].isNull(), F.lit(bool(field.validate)))
+        return F.struct(
+            F.lit(rank).alias("locator_rank"), F.lit(field.locators[rank]).alias("locator"), x["raw"].alias("raw_text"), F.when(result == "ok", x["value"]).alias("value"), result.alias("result"),
+            x["reason"].isNull().alias("grounded"), x["reason"].alias("grounding_reason"), score.alias("confidence"),
+        )
+
+    def values(x: Column) -> Column:
+        value = let(x["made"], lambda made: coerce(made, field.type))
+        return let(F.struct(x["raw"].alias("raw"), x["made"].alias("made"), value.alias("value"), grounded_in(normalize_whitespace(x["raw"]), source).alias("reason")), judge)
+
+    return let(raw, lambda r: let(F.struct(r.alias("raw"), pipeline(field.transform)(r).cast("string").alias("made")), values))
 
 
 def execute(pages: DataFrame, program: Program, html: str = "html", url: str = "url") -> DataFrame:

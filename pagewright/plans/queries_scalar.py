@@ -107,8 +107,8 @@ column(
 column("page_id", "pages", {"tokens": lambda: S.tokens(raw("cleaned_html"))}, {"tokens": "cast(coalesce(ceil(length(cleaned_html) / 4.0), 0) as bigint)"}, name="ref_F17_token_estimate")
 column("record_id", "extracted_record", {"canonical": lambda: U.canonical(raw("page_url"))}, {"canonical": sql_canonical("page_url")}, name="ref_F18_url_canonicalize")
 column("record_id", "extracted_record", {"key": lambda: U.discovery_key(raw("page_url")), "entry": lambda: U.sitemap_key(raw("page_url"))}, {
-    "key": f"{SCHEME.format('page_url')} || '://' || {HOST.format('page_url')} || regexp_replace({PATH.format('page_url')}, '(.)/$', '\\1') || case when {QUERY.format('page_url')} = '' then '' else '?' || {QUERY.format('page_url')} end",
-    "entry": f"{SCHEME.format('page_url')} || '://' || {HOST.format('page_url')} || {PATH.format('page_url')} || case when {QUERY.format('page_url')} = '' then '' else '?' || {QUERY.format('page_url')} end",
+    "key": f"{sql_origin('page_url')} || regexp_replace({PATH.format('page_url')}, '(.)/$', '\\1') || case when {QUERY.format('page_url')} = '' then '' else '?' || {QUERY.format('page_url')} end",
+    "entry": f"{sql_origin('page_url')} || {PATH.format('page_url')} || case when {QUERY.format('page_url')} = '' then '' else '?' || {QUERY.format('page_url')} end",
 }, name="ref_F20_F21_keys")
 column("outcome_id", "outcomes", {"origin": lambda: U.origin(raw("source_url")), "path": lambda: U.path_and_query(raw("source_url"))}, {
     "origin": sql_origin("source_url"), "path": f"case when {PATH.format('source_url')} = '' then '/' else {PATH.format('source_url')} end || case when {QUERY.format('source_url')} = '' then '' else '?' || {QUERY.format('source_url')} end",
