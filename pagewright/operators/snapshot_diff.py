@@ -160,6 +160,24 @@ def payload_hash(payloads: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series([_signed(xxhash.xxh64_intdigest(canonical(parse(x) or {}))) for x in batch], dtype="int64")
 
 
+#: Runs up to this number are broadcast to the records (about 100 bytes each); more are joined by a shuffle.
+FEW_RUNS = 200_000
+
+
+def with_runs(records: DataFrame, runs: DataFrame) -> DataFrame:
+    """Records with their run's columns; the runs are broadcast only after they were counted."""
+    return records.join(F.broadcast(runs) if runs.count() <= FEW_RUNS else runs, "run_id")
+
+
+def numbered(runs: DataFrame) -> DataFrame:
+    """Runs with ``series`` as a number instead of a text: a hash of the job, salted anew until no two jobs share one."""
+    for salt in range(8):
+        out = runs.withColumn("job_id", F.col("series")).withColumn("series", F.xxhash64("series", F.lit(salt)))
+        if out.groupBy("series").agg(F.min("job_id").alias("a"), F.max("job_id").alias("b")).filter("a <> b").isEmpty():
+            return out
+    raise RuntimeError("jobs cannot be told apart by hash")
+
+
 def ordered_runs(runs: DataFrame, rows_per_bucket: int = 24) -> DataFrame:
     """Done runs with their place in the job: run_id, series (job), seq, last_seq, buckets.
 
@@ -180,18 +198,19 @@ def ordered_runs(runs: DataFrame, rows_per_bucket: int = 24) -> DataFrame:
 def p1_found(spark, sf_dir: str) -> DataFrame:
     """Records added, removed or changed between consecutive done runs of a job.
 
-    Of repeated rows of a record in a run the latest extracted_at counts (null first; ties by record_id). Null key parts
+    Of repeated rows of a record in a run the latest extracted_at counts (null first; ties by
+    value hash). Null key parts
     are values of their own. Runs that are not done, and records of unknown runs, play no part.
     """
-    runs = ordered_runs(table(spark, sf_dir, "crawl_run"))
-    records = table(spark, sf_dir, "extracted_record").select("record_id", "run_id", record_url(F.col("page_url")).alias("page_url"), "template_id", "record_index", "payload", "extracted_at")
+    runs = cut(numbered(ordered_runs(table(spark, sf_dir, "crawl_run"))))
+    records = table(spark, sf_dir, "extracted_record").select("run_id", record_url(F.col("page_url")).alias("page_url"), "template_id", "record_index", "payload", "extracted_at")
     key = F.xxhash64(*[x for c in ("page_url", "template_id", "record_index") for x in (F.col(c), F.col(c).isNull())])
-    slim = records.select("run_id", key.alias("kh"), payload_hash("payload").alias("vh"), "extracted_at", "record_id").join(runs, "run_id")
-    slim = slim.withColumn("bucket", F.pmod("kh", "buckets").cast("int")).repartition("series", "bucket")
-    items = slim.groupBy("series", "bucket", "seq", "last_seq", "kh").agg(F.max_by("vh", F.struct("extracted_at", "record_id")).alias("vh"))
+    slim = with_runs(records.select("run_id", key.alias("kh"), payload_hash("payload").alias("vh"), "extracted_at"), runs.drop("job_id"))
+    slim = slim.withColumn("bucket", F.pmod("kh", "buckets").cast("int")).drop("run_id", "buckets").repartition("series", "bucket")
+    items = slim.groupBy("series", "bucket", "seq", "last_seq", "kh").agg(F.max_by("vh", F.struct("extracted_at", "vh")).alias("vh"))
     found = diff_snapshots(items)
     # Names of the keys that differ, from a scan without payloads.
-    names = records.select("run_id", "page_url", "template_id", "record_index", key.alias("kh")).join(runs.select("run_id", "series"), "run_id")
-    names = names.groupBy("series", "kh").agg(*[F.max(c).alias(c) for c in ("page_url", "template_id", "record_index")])
-    found = found.join(names, ["series", "kh"]).join(runs.select("run_id", "series", "seq"), ["series", "seq"])
-    return found.select(F.col("series").alias("job_id"), "run_id", "page_url", "template_id", "record_index", F.col("kind").alias("change_kind"))
+    names = with_runs(records.select("run_id", "page_url", "template_id", "record_index", key.alias("kh")), runs.select("run_id", "series"))
+    names = names.drop("run_id").groupBy("series", "kh").agg(*[F.max(c).alias(c) for c in ("page_url", "template_id", "record_index")])
+    found = found.join(names, ["series", "kh"]).join(runs.select("run_id", "job_id", "series", "seq"), ["series", "seq"])
+    return found.select("job_id", "run_id", "page_url", "template_id", "record_index", F.col("kind").alias("change_kind"))
