@@ -115,24 +115,36 @@ class Looker:
         return size, runs, self.blocks(rest)
 
     def blocks(self, lines: list[str]) -> list[dict]:
-        out, seen, now, at = [], set(), [], 0
+        """Blocks of distinct sentences; a sentence that comes again adds its length to the block that has it."""
+        out, of, now, at = [], {}, [], 0
+        again: dict[int, int] = {}
+
+        def close() -> None:
+            nonlocal now, at
+            out.append(self.block(" ".join(now)))
+            now, at = [], 0
+
         for x in lines:
             if self.is_code(x):
                 continue
             for s in self.sentences(x):
                 s = " ".join(s.split())
-                if not s or s in seen:
+                if not s:
                     continue
-                seen.add(s)
+                if s in of:
+                    again[of[s]] = again.get(of[s], 0) + len(s) + 1
+                    continue
+                of[s] = len(out)
                 now.append(s)
                 at += len(s) + 1
                 if at >= BLOCK:
-                    out.append(self.block(" ".join(now)))
-                    now, at = [], 0
-        if at >= BLOCK // 3 or (now and not out):
-            out.append(self.block(" ".join(now)))
+                    close()
+        if now and (at >= BLOCK // 3 or not out):
+            close()
         elif now:
             out[-1]["n"] += at
+        for k, n in again.items():
+            out[min(k, len(out) - 1)]["n"] += n
         return out
 
     def block(self, text: str) -> dict:

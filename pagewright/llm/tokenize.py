@@ -49,11 +49,33 @@ def compile_merges(path: str) -> dict:
         cut[x, y] = n
         if ab not in order:
             left[ab], right[ab], order[ab] = x, y, n
-    # Labels that no merge makes (such as the end-of-text sign) have no arcs.
-    label = {i: b for i, b in label.items() if len(b) == 1 or i in order}
+    # Labels that no merge makes (such as the end-of-text sign) have no arcs, nor have those whose gadget found none to
+    # add: where b no longer followed a when the merge's turn came, no text has that token.
+    alive = {i for i, b in label.items() if len(b) == 1}
+    for ab, n in sorted(order.items(), key=lambda x: x[1]):
+        if left[ab] in alive and right[ab] in alive and survives(left[ab], right[ab], n, left, right, order, cut):
+            alive.add(ab)
+    label = {i: b for i, b in label.items() if i in alive}
     return {"label": label, "left": left, "right": right, "order": order, "cut": cut} | spelling_tables(label)
 
 
+def survives(a: int, b: int, when: int, left: dict, right: dict, order: dict, cut: dict) -> bool:
+    """Whether the arc b after the token a is there when the gadgets before the ``when``-th are in."""
+    while True:
+        at = cut.get((a, b))
+        if at is not None and at < when:
+            return False
+        x, y = order.get(a, -1), order.get(b, -1)
+        if x < 0 and y < 0:
+            return True
+        # The later of the two took over the arcs of its part as they stood when it was made; a token ab is reached only
+        # where the arc a stays, its own gadget's cut included (which matters if a is b).
+        if y > x:
+            when, b = min(when, y + 1), left[b]
+        else:
+            when, a = min(when, x), right[a]
+
+
 def spelling_tables(label: dict[int, bytes]) -> dict:
     """Transitions over bytes that spell the labels: step[state * 256 + byte] is the next state, ends[state] the label."""
     step: dict[int, int] = {}
@@ -97,22 +119,7 @@ class Automaton:
         key = u << 20 | v
         found = self.arcs.get(key)
         if found is None:
-            when, a, b = 1 << 40, u, v
-            found = True
-            while True:
-                at = self.cut.get((a, b))
-                if at is not None and at < when:
-                    found = False
-                    break
-                x, y = self.order.get(a, -1), self.order.get(b, -1)
-                if x < 0 and y < 0:
-                    break
-                # The later of the two took over the arcs of its part as they stood when it was made; a token ab is
-                # reached only where the arc a stays, its own gadget's cut included (which matters if a is b).
-                if y > x:
-                    when, b = min(when, y + 1), self.left[b]
-                else:
-                    when, a = min(when, x), self.right[a]
+            found = survives(u, v, 1 << 40, self.left, self.right, self.order, self.cut)
             if len(self.arcs) >= 4 * self.KEEP:
                 self.arcs.clear()
             self.arcs[key] = found
