@@ -338,7 +338,7 @@ def content_of(root: Node) -> Node:
             score = (letters - 2 * linked) * (1 + min(paragraphs, 20) / 10) * {"article": 1.3, "main": 1.2}.get(n.tag, 1.0)
             if score > most:
                 best, most = n, score
-    return best if most > 0.25 * len(text_of(body)) else body
+    return best if 2 * len(text_of(best)) >= len(text_of(body)) else body
 
 
 def clean_page(page: str | None) -> dict:

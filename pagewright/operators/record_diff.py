@@ -35,4 +35,4 @@ def leaf_diff(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame
 
 def content_key(text: Column) -> Column:
     """Hash of a text without regard to white space; texts with the same words in the same order share it."""
-    return F.sha2(F.trim(F.regexp_replace(text, "[ \\t\\n\\r]+", " ")), 256)
+    return F.sha2(F.regexp_replace(F.regexp_replace(text, "[ \\t\\n\\r]+", " "), "^ | $", ""), 256)

@@ -393,7 +393,7 @@ def _(spark, d):
     return keys.groupBy("run_id", "template_id").agg(F.count_distinct("k").alias("keys"))
 
 
-@R.query("ref_D8_content_dedup", "select doc_id from (select doc_id, row_number() over (partition by sha256(trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g'))) order by doc_id) as r from documents where text is not null) where r = 1")
+@R.query("ref_D8_content_dedup", "select doc_id from (select doc_id, row_number() over (partition by sha256(regexp_replace(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g'), '^ | $', '', 'g')) order by doc_id) as r from documents where text is not null) where r = 1")
 def _(spark, d):
     docs = t(spark, d, "documents").filter("text IS NOT NULL")
     return docs.groupBy(record_diff.content_key(F.col("text")).alias("k")).agg(F.min("doc_id").alias("doc_id")).select("doc_id")

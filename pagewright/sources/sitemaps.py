@@ -49,7 +49,7 @@ def sitemap_entries(files: DataFrame, xml: str) -> DataFrame:
     good = F.rlike(F.coalesce(F.col(xml), F.lit("")), F.lit(r"(?s)<urlset\b.*</urlset>"))
     locs = F.xpath(F.col(xml), F.lit("/urlset/url/loc/text()"))
     mods = F.xpath(F.col(xml), F.lit("/urlset/url/lastmod/text()"))
-    zipped = F.when(good, F.arrays_zip(locs.alias("loc"), F.when(F.size(mods) == F.size(locs), mods).alias("lastmod")))
+    zipped = F.when(good, F.arrays_zip(locs.alias("loc"), F.when(F.size(mods) == F.size(locs), mods).otherwise(F.array_repeat(F.lit(None).cast("string"), F.size(locs))).alias("lastmod")))
     rest = [c for c in files.columns if c != xml]
     out = files.select(*rest, F.explode(zipped).alias("e")).select(*rest, F.trim("e.loc").alias("loc"), F.trim("e.lastmod").alias("lastmod"))
     return out.filter("loc <> ''")
