@@ -84,10 +84,15 @@ def path_and_query(url: Column) -> Column:
 
 def in_scope(url: Column, entry: Column, scope: Column) -> Column:
     """single: the same page; section: the same origin at or under the entry's path; site: the same origin."""
-    one, start = canonical(url), canonical(entry)
-    path, base = split_url(one)["path"], split_url(start)["path"]
-    under = (path == base) | F.startswith(path, F.concat(F.regexp_replace(base, "/$", ""), F.lit("/")))
-    same = origin(url) == origin(entry)
+    return keys_in_scope(canonical(url), canonical(entry), scope)
+
+
+def keys_in_scope(one: Column, start: Column, scope: Column) -> Column:
+    """The same of canonical URLs."""
+    site = lambda c: F.regexp_extract(c, "^(https?://[^/]+)", 1)
+    path = lambda c: F.regexp_extract(c, r"^https?://[^/]+([^?]*)", 1)
+    under = (path(one) == path(start)) | F.startswith(path(one), F.concat(F.regexp_replace(path(start), "/$", ""), F.lit("/")))
+    same = site(one) == site(start)
     return F.coalesce(F.when(scope == "single", one == start).when(scope == "section", same & under).when(scope == "site", same), F.lit(False))
 
 

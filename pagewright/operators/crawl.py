@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from pagewright.functions.urls import canonical, discovery_key, doc_likeness, in_scope, origin
+from pagewright.functions.urls import canonical, discovery_key, doc_likeness, keys_in_scope, origin
 from pagewright.sources.tables import cut
 
 # Paths under which sites keep their documentation.
@@ -21,7 +21,8 @@ def enqueue(candidates: DataFrame, entry: Column, scope: Column, max_depth: int,
     Checks come in this order and the cap counts accepted URLs. The first of equal keys is a partial aggregate and the
     cap a count per crawl, so no hot key is gathered in one task before it is reduced.
     """
-    d = candidates.withColumn("canonical_key", canonical(F.col("url"))).withColumn("in_scope", in_scope(F.col("url"), entry, scope))
+    d = candidates.withColumn("canonical_key", canonical(F.col("url"))).withColumn("entry_key", canonical(entry))
+    d = d.withColumn("in_scope", keys_in_scope(F.col("canonical_key"), F.col("entry_key"), scope)).drop("entry_key")
     early = F.when(F.col("canonical_key").isNull(), "malformed").when(~F.col("in_scope"), "out-of-scope").when(F.col("depth") > max_depth, "too-deep")
     d = d.withColumn("early", early)
     fresh = d.filter("early IS NULL")

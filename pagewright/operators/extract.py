@@ -18,6 +18,7 @@ from pagewright.functions.scalars import confidence, grounded_in
 from pagewright.functions.transforms import coerce, let, normalize_whitespace, pipeline
 from pagewright.plans.expression import compile_rule
 from pagewright.plans.program import Program
+from pagewright.sources.tables import spread
 
 RAW = "page_id long, source_url string, template_id string, rec_idx int, source_text string, texts array<string>"
 
@@ -46,7 +47,7 @@ def resolve(pages: DataFrame, program: Program, html: str = "html", url: str = "
                         rows.append((page_id, source, template, k, text, [dom.text_of(x[0]) if (x := loc(r)) else None for loc in locs]))
             yield pd.DataFrame(rows, columns=["page_id", "source_url", "template_id", "rec_idx", "source_text", "texts"])
 
-    return pages.select("page_id", F.col(url).alias("url"), F.col(html).alias("html")).mapInPandas(each, RAW)
+    return spread(pages.select("page_id", F.col(url).alias("url"), F.col(html).alias("html"))).mapInPandas(each, RAW)
 
 
 def _attempt(raw: Column, field, rank: int, source: Column) -> Column:
@@ -112,7 +113,7 @@ def page_struct(pages: DataFrame, html: str = "html") -> DataFrame:
         for batch in batches:
             yield pd.DataFrame([{"page_id": i} | dom.clean_page(x if isinstance(x, str) else None) for i, x in zip(batch["page_id"], batch["html"], strict=True)], columns=["page_id", "html", "text", "readable", "title", "lang"])
 
-    return pages.select("page_id", F.col(html).alias("html")).mapInPandas(each, "page_id long, html string, text string, readable boolean, title string, lang string")
+    return spread(pages.select("page_id", F.col(html).alias("html"))).mapInPandas(each, "page_id long, html string, text string, readable boolean, title string, lang string")
 
 
 def page_links(pages: DataFrame, html: str = "html") -> DataFrame:
@@ -123,7 +124,7 @@ def page_links(pages: DataFrame, html: str = "html") -> DataFrame:
             rows = [(i, *x) for i, u, page in zip(batch["page_id"], batch["url"], batch["html"], strict=True) for x in dom.links(page if isinstance(page, str) else None, u or "")]
             yield pd.DataFrame(rows, columns=["page_id", "pos", "url", "text", "region"])
 
-    return pages.select("page_id", "url", F.col(html).alias("html")).mapInPandas(each, "page_id long, pos int, url string, text string, region string")
+    return spread(pages.select("page_id", "url", F.col(html).alias("html"))).mapInPandas(each, "page_id long, pos int, url string, text string, region string")
 
 
 def page_regions(pages: DataFrame, html: str = "html") -> DataFrame:
@@ -134,7 +135,7 @@ def page_regions(pages: DataFrame, html: str = "html") -> DataFrame:
             rows = [(i, *x) for i, page in zip(batch["page_id"], batch["html"], strict=True) for x in dom.regions(page if isinstance(page, str) else None)]
             yield pd.DataFrame(rows, columns=["page_id", "pos", "shape", "html"])
 
-    return pages.select("page_id", F.col(html).alias("html")).mapInPandas(each, "page_id long, pos int, shape string, html string")
+    return spread(pages.select("page_id", F.col(html).alias("html"))).mapInPandas(each, "page_id long, pos int, shape string, html string")
 
 
 def page_markdown(pages: DataFrame, html: str = "html") -> DataFrame:
@@ -144,7 +145,7 @@ def page_markdown(pages: DataFrame, html: str = "html") -> DataFrame:
         for batch in batches:
             yield pd.DataFrame({"page_id": batch["page_id"], "markdown": [dom.markdown(x if isinstance(x, str) else None) for x in batch["html"]]})
 
-    return pages.select("page_id", F.col(html).alias("html")).mapInPandas(each, "page_id long, markdown string")
+    return spread(pages.select("page_id", F.col(html).alias("html"))).mapInPandas(each, "page_id long, markdown string")
 
 
 def probe_locators(pages: DataFrame, locators: list[str], html: str = "html", sample: int = 120) -> DataFrame:
@@ -162,7 +163,7 @@ def probe_locators(pages: DataFrame, locators: list[str], html: str = "html", sa
                     rows.append((i, name, bool(found), len(found), text if text is None or len(text) <= sample else text[:sample] + "…"))
             yield pd.DataFrame(rows, columns=["page_id", "locator", "resolves", "matches", "sample"])
 
-    return pages.select("page_id", F.col(html).alias("html")).mapInPandas(each, "page_id long, locator string, resolves boolean, matches int, sample string")
+    return spread(pages.select("page_id", F.col(html).alias("html"))).mapInPandas(each, "page_id long, locator string, resolves boolean, matches int, sample string")
 
 
 def fit_budget(regions: DataFrame, budget: int, examples: int = 2) -> DataFrame:

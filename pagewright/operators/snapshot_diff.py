@@ -114,12 +114,13 @@ def _recover(items: DataFrame, width: Column) -> DataFrame:
     return d.withColumn("p", _peel("cells", "width")).select("series", "bucket", "seq", "p.whole", "p.pairs")
 
 
-def diff_snapshots(items: DataFrame, width: int = 16, rounds: int = 3) -> DataFrame:
+def diff_snapshots(items: DataFrame, width: int = 40, rounds: int = 3) -> DataFrame:
     """Differences of consecutive snapshots.
 
     ``items``: series, seq (1, 2, ... per series, without gaps), last_seq, bucket, kh (key hash), vh (value hash); one
     row per key and snapshot. A snapshot without rows counts as empty; the first has no cases. Returns series, seq (the
-    later one), kh, kind (added, removed or changed). An empty input gives an empty result.
+    later one), kh, kind (added, removed or changed). An empty input gives an empty result. Cells are kept sparse, so a
+    wide table costs no more than the pairs in it; only buckets with far more differences than planned are built again.
     """
     items = cut(items)
     found = cut(_recover(items, F.lit(width)))

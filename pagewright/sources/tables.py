@@ -25,3 +25,11 @@ def cut(df: DataFrame) -> DataFrame:
     """Write the rows to the shared folder once and go on from there; survives the loss of executors."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores where a table comes in fewer pieces than half of them, as small single files do; before
+    costly work on each row. A table of more pieces is left as it is: nothing of any size is shuffled for this."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    pieces = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(cores) if 2 * pieces <= cores else df
