@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.sources.tables import table
+from pagewright.sources.tables import spread, table
 
 LIMIT, OVERLAP = 8000, 200
 #: The least new text of a piece, if there is more; and how far a cut may go from its landmark for each kind of boundary.
@@ -131,7 +131,7 @@ def split_pages(pages: DataFrame) -> DataFrame:
                 rows += [(page, k, len(found), start, piece) for k, (start, piece) in enumerate(found)]
             yield pd.DataFrame(rows, columns=["page_id", "piece", "pieces", "start", "text"])
 
-    large = pages.filter(F.length("cleaned_html") > LIMIT).select("page_id", "cleaned_html")
+    large = spread(pages.filter(F.length("cleaned_html") > LIMIT).select("page_id", "cleaned_html"))
     return large.mapInPandas(each, "page_id long, piece int, pieces int, start int, text string")
 
 

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.sources.tables import cut, table
+from pagewright.sources.tables import cut, spread, table
 
 BLOCK = 1200
 #: A block is extremely redundant below this share of its usual compression ratio, if sentences are rare in it ...
@@ -173,7 +173,7 @@ def looked(documents: DataFrame) -> DataFrame:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "row": batch["row"], "lang": batch["lang"], "size": [f[0] for f in found], "runs": [f[1] for f in found], "blocks": [f[2] for f in found]})
 
     texts = documents.select("doc_id", F.xxhash64("text", "lang").alias("row"), F.coalesce(F.lower("lang"), F.lit("")).alias("lang"), "text")
-    return texts.mapInPandas(each, "doc_id long, row long, lang string, size int, runs int, blocks array<struct<n:int,bin:int,ratio:double,ends:double,top:double>>")
+    return spread(texts).mapInPandas(each, "doc_id long, row long, lang string, size int, runs int, blocks array<struct<n:int,bin:int,ratio:double,ends:double,top:double>>")
 
 
 def scored(spark, documents: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.sources.tables import table
+from pagewright.sources.tables import spread, table
 
 LEAST = 12
 #: Seeds (runs of words of test items) in one broadcast: about 100 MB at most with the items' words.
@@ -165,7 +165,7 @@ def _search(spark, documents: DataFrame, seeds: dict) -> DataFrame:
             rows = [(d, i, n, n / size) for d, text in zip(batch["doc_id"], batch["text"], strict=True) for i, n, size in searcher.look(text)]
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "words", "coverage"])
 
-    return documents.select("doc_id", "text").mapInPandas(each, "doc_id long, item_id long, words int, coverage double")
+    return spread(documents.select("doc_id", "text")).mapInPandas(each, "doc_id long, item_id long, words int, coverage double")
 
 
 def p9_found(spark, sf_dir: str) -> DataFrame:

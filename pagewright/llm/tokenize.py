@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.sources.tables import table
+from pagewright.sources.tables import spread, table
 
 #: Where the vocabulary files lie; a parameter of every function that reads them.
 TOKENIZERS = "/opt/tokenizers"
@@ -230,7 +230,7 @@ def encode_texts(spark, texts: DataFrame, key: str, text: str, path: str) -> Dat
             ids = pa.ListArray.from_arrays(pa.array(np.array(offsets, dtype="int32")), pa.array(np.array(flat, dtype="int32")))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=[key, "ids"])
 
-    return texts.select(key, text).mapInArrow(encode, f"`{key}` {kind.simpleString()}, ids array<int>")
+    return spread(texts.select(key, text)).mapInArrow(encode, f"`{key}` {kind.simpleString()}, ids array<int>")
 
 
 def p8_ids(spark, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
