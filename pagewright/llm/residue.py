@@ -106,6 +106,7 @@ class Residue:
         self.notice = re.compile("(?i)[^\\w¡¿]*(?:" + "|".join(NOTICES) + ")")
         self.tail = re.compile("(?i)" + TAIL)
         self.words = re.compile(r"[^\W\d_]+")
+        self.head = re.compile(r"(?is)<h1\b[^>]*>(.*?)</h1\s*>")
         self.code, self.block, self.tag = re.compile(CODE), re.compile(BLOCK), re.compile(r"</?[A-Za-z][^<>]*>|<!DOCTYPE[^>]*>")
 
     def has_slot(self, text: str) -> bool:
@@ -188,11 +189,13 @@ class Residue:
         if any(self.has_slot(x) for x in blocks):
             return "slot"
         size, weight = 0, {}
+        heads = {" ".join(html.unescape(self.tag.sub(" ", x)).split()) for x in self.head.findall(page)}
         for x in blocks:
-            n = len(x)
-            size += n
             if kind := self.message(x):
-                weight[kind] = weight.get(kind, 0) + n
+                weight[kind] = weight.get(kind, 0) + len(x)
+            elif " ".join(x.split()) in heads:
+                continue  # a title is no content of its own
+            size += len(x)
         if weight and sum(weight.values()) >= DENSITY * size:
             return max(weight, key=weight.get)
         return None
