@@ -140,6 +140,8 @@ class Repairer:
 
     #: Log odds before looking: most tokens are clean; valid UTF-8 inside a token is strong evidence of its own.
     PRIOR, SINGLE, STRICT, KEEP = -4.0, -8.0, 7.0, 100_000
+    #: Log odds of one token that outweigh its neighbours: a sign that no right text has.
+    PLAIN = 16.0
 
     def __init__(self, model: dict):
         self.model, self.seen = model, {}
@@ -180,7 +182,9 @@ class Repairer:
         if rest:
             odds = sum(j[1] for j in rest) + self.SINGLE
             k = int(odds.argmax())
-            if odds[k] > 0:
+            if odds[k] <= 0:
+                k = int(max(rest, key=lambda j: j[1].max())[1].argmax())
+            if odds[k] > 0 or max(j[1][k] for j in rest) >= self.PLAIN:
                 single = self.model["names"][self.single[k]]
         out, at = [], 0
         for m, (multi, _) in zip(found, judged, strict=True):
