@@ -18,8 +18,9 @@ def enqueue(candidates: DataFrame, entry: Column, scope: Column, max_depth: int,
     """Candidates (``url``, ``depth``, ``arrival``, and the columns ``per`` that tell crawls apart) with canonical_key and
     reject_reason: malformed, out-of-scope, too-deep, duplicate, over-cap, or null for those that are accepted.
 
-    Checks come in this order and the cap counts accepted URLs. The first of equal keys is a partial aggregate and the
-    cap a count per crawl, so no hot key is gathered in one task before it is reduced.
+    Checks come in this order and the cap counts accepted URLs. The first of equal keys is a partial aggregate; the last
+    arrival under the cap comes from a top-k per crawl, which every task cuts to the cap before anything is shuffled. So no
+    hot crawl is gathered in one task.
     """
     d = candidates.withColumn("canonical_key", canonical(F.col("url"))).withColumn("entry_key", canonical(entry))
     d = d.withColumn("in_scope", keys_in_scope(F.col("canonical_key"), F.col("entry_key"), scope)).drop("entry_key")
@@ -29,10 +30,11 @@ def enqueue(candidates: DataFrame, entry: Column, scope: Column, max_depth: int,
     if seen is not None:
         fresh = fresh.join(seen.select(*per, "canonical_key").distinct(), [*per, "canonical_key"], "left_anti")
     first = fresh.groupBy(*per, "canonical_key").agg(F.min("arrival").alias("first_arrival"))
-    first = first.withColumn("place", F.row_number().over(W.partitionBy(*per).orderBy("first_arrival")))
-    d = d.join(first, [*per, "canonical_key"], "left")
-    late = F.when(F.col("early").isNotNull(), F.col("early")).when(F.col("first_arrival").isNull() | (F.col("first_arrival") != F.col("arrival")), "duplicate").when(F.col("place") > max_pages, "over-cap")
-    return d.withColumn("reject_reason", late).drop("early", "in_scope", "first_arrival", "place")
+    top = first.withColumn("place", F.row_number().over(W.partitionBy(*per).orderBy("first_arrival"))).filter(F.col("place") <= max_pages)
+    last = top.groupBy(*per).agg(F.max("first_arrival").alias("last_arrival"))
+    d = d.join(first, [*per, "canonical_key"], "left").join(last, per, "left")
+    late = F.when(F.col("early").isNotNull(), F.col("early")).when(F.col("first_arrival").isNull() | (F.col("first_arrival") != F.col("arrival")), "duplicate").when(F.col("first_arrival") > F.col("last_arrival"), "over-cap")
+    return d.withColumn("reject_reason", late).drop("early", "in_scope", "first_arrival", "last_arrival")
 
 
 def crawl_levels(seeds: DataFrame, edges: DataFrame, max_depth: int) -> DataFrame:

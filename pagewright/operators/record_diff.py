@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
+from pagewright.operators.prefix import running
 
-def with_place(records: DataFrame, page: str, template: str, order: list[str]) -> DataFrame:
-    """``place``: running number of a record within its page and template, from 0."""
-    return records.withColumn("place", F.row_number().over(W.partitionBy(page, template).orderBy(*order)) - 1)
+
+def with_place(records: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """``place``: running number of a record within its keys, from 0; a key may hold any share of the rows."""
+    return running(records, keys, order, {"place": F.lit(1).cast("long")}).withColumn("place", F.col("place") - 1)
 
 
 def diff_records(before: DataFrame, after: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:

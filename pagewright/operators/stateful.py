@@ -5,34 +5,32 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from pagewright.functions.scalars import backoff_ms
+from pagewright.operators.prefix import running
 
 
 def earliest_start(requests: DataFrame, key: str, finished: str, gap_ms: int, order: list[str]) -> DataFrame:
     """When each request may start at the earliest: the one before has finished and the gap has passed (``finished`` in ms)."""
-    before = F.lag(finished).over(W.partitionBy(key).orderBy(*order))
-    return requests.withColumn("earliest_ms", before + gap_ms)
+    return running(requests, [key], order, {}, {"_before": finished}).withColumn("earliest_ms", F.col("_before") + gap_ms).drop("_before")
 
 
 def failure_streaks(requests: DataFrame, key: str, failed: str, order: list[str], base: int = 1000, most: int = 60_000) -> DataFrame:
-    """Consecutive failures up to each request and the cool-down that follows; a success starts anew."""
-    run = W.partitionBy(key).orderBy(*order)
-    d = requests.withColumn("island", F.sum((~F.col(failed)).cast("long")).over(run.rowsBetween(W.unboundedPreceding, 0)))
-    within = W.partitionBy(key, "island").orderBy(*order)
-    d = d.withColumn("streak", F.sum(F.col(failed).cast("long")).over(within.rowsBetween(W.unboundedPreceding, 0)))
-    return d.drop("island").withColumn("cooldown_ms", F.when(F.col("streak") > 0, backoff_ms(F.col("streak"), base, most)).otherwise(F.lit(0)))
+    """Consecutive failures up to each request and the cool-down that follows; a success starts anew. Failures between two
+    successes are an island; both its number and the place in it come from running sums."""
+    bad = F.coalesce(failed, F.lit(False))
+    d = running(requests, [key], order, {"_island": (~bad).cast("long")})
+    d = running(d, [key, "_island"], order, {"streak": bad.cast("long")}).drop("_island")
+    return d.withColumn("cooldown_ms", F.when(F.col("streak") > 0, backoff_ms(F.col("streak"), base, most)).otherwise(F.lit(0)))
 
 
 def within_budget(attempts: DataFrame, key: str, order: list[str], limit: int) -> DataFrame:
     """The first ``limit`` attempts of a run use the budget, the others find it exhausted."""
-    place = F.row_number().over(W.partitionBy(key).orderBy(*order))
-    return attempts.withColumn("outcome", F.when(place <= limit, "attempt").otherwise("budget-exhausted"))
+    d = running(attempts, [key], order, {"_place": F.lit(1).cast("long")})
+    return d.withColumn("outcome", F.when(F.col("_place") <= limit, "attempt").otherwise("budget-exhausted")).drop("_place")
 
 
 def redesign(pages: DataFrame, key: str, failing: str, order: list[str], least: int = 4, share: float = 0.5) -> DataFrame:
     """Running share of failing pages and whether it looks like a redesign: at least ``least`` pages, half of them failing."""
-    run = W.partitionBy(key).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    d = pages.withColumn("pages", F.count(F.lit(1)).over(run)).withColumn("failing_pages", F.sum(F.col(failing).cast("long")).over(run))
+    d = running(pages, [key], order, {"pages": F.lit(1).cast("long"), "failing_pages": F.coalesce(failing, F.lit(False)).cast("long")})
     return d.withColumn("likely_redesign", (F.col("pages") >= least) & (F.col("failing_pages") >= share * F.col("pages")))

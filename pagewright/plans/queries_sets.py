@@ -10,6 +10,7 @@ from pagewright.functions import scalars as S
 from pagewright.functions import transforms as X
 from pagewright.functions import urls as U
 from pagewright.operators import crawl, extract, metrics, record_diff, robots, stateful
+from pagewright.operators.prefix import running
 from pagewright.plans.program import read_program
 from pagewright.plans.queries_scalar import HOST, PATH, QUERY, sql_canonical, sql_origin
 from pagewright.plans.registry import Registry
@@ -141,8 +142,8 @@ def _(spark, d):
 def _(spark, d):
     """Two halves of the outcomes held against each other by place, as expected and actual records are."""
     def side(odd, value):
-        w = W.partitionBy("page_id", "template_id", "field_name").orderBy("outcome_id")
-        return t(spark, d, "outcomes").filter(F.col("outcome_id") % 2 == odd).select("page_id", "template_id", "field_name", F.row_number().over(w).cast("long").alias("place"), F.col("value").alias(value), F.lit(True).alias(value + "_is"))
+        half = t(spark, d, "outcomes").filter(F.col("outcome_id") % 2 == odd).select("outcome_id", "page_id", "template_id", "field_name", F.col("value").alias(value), F.lit(True).alias(value + "_is"))
+        return record_diff.with_place(half, ["page_id", "template_id", "field_name"], ["outcome_id"]).withColumn("place", F.col("place") + 1).drop("outcome_id")
 
     both = side(0, "expected").join(side(1, "actual"), ["page_id", "template_id", "field_name", "place"], "full_outer")
     verdict = F.when(F.col("actual_is").isNull(), "missing").when(F.col("expected_is").isNull(), "extra").when(~F.col("expected").eqNullSafe(F.col("actual")), "value-mismatch").otherwise("ok")
@@ -291,10 +292,11 @@ def _(spark, d):
     return t(spark, d, "crawl_run").groupBy("job_id").agg(n().alias("runs"), ratio.alias("ratio"), ((n() >= 4) & (ratio >= 0.5)).alias("likely_redesign"))
 
 
-@R.query("ref_A22_progress", "select run_id, cast(sum(pages_fetched) over w as bigint) as fetched, cast(sum(pages_extracted) over w as bigint) as extracted from crawl_run window w as (partition by job_id order by started_at, run_id rows unbounded preceding)")
+@R.query("ref_A22_progress", "select run_id, cast(coalesce(sum(pages_fetched) over w, 0) as bigint) as fetched, cast(coalesce(sum(pages_extracted) over w, 0) as bigint) as extracted from crawl_run window w as (partition by job_id order by started_at, run_id rows unbounded preceding)")
 def _(spark, d):
-    w = W.partitionBy("job_id").orderBy("started_at", "run_id").rowsBetween(W.unboundedPreceding, 0)
-    return t(spark, d, "crawl_run").select("run_id", F.sum("pages_fetched").over(w).alias("fetched"), F.sum("pages_extracted").over(w).alias("extracted"))
+    runs = t(spark, d, "crawl_run").select("run_id", "job_id", "started_at", F.col("pages_fetched").cast("long"), F.col("pages_extracted").cast("long"))
+    d_ = running(runs, ["job_id"], ["started_at", "run_id"], {"fetched": F.col("pages_fetched"), "extracted": F.col("pages_extracted")})
+    return d_.select("run_id", "fetched", "extracted")
 
 
 # --- windows, sorts, sets ----------------------------------------------------------------------------------------------
@@ -302,8 +304,8 @@ def _(spark, d):
 
 @R.query("ref_W1_place_in_page", "select record_id, row_number() over (partition by run_id, page_url, template_id order by record_index, record_id) - 1 as place from extracted_record")
 def _(spark, d):
-    w = W.partitionBy("run_id", "page_url", "template_id").orderBy("record_index", "record_id")
-    return t(spark, d, "extracted_record").select("record_id", (F.row_number().over(w) - 1).cast("long").alias("place"))
+    rows = t(spark, d, "extracted_record").select("record_id", "run_id", "page_url", "template_id", "record_index")
+    return record_diff.with_place(rows, ["run_id", "page_url", "template_id"], ["record_index", "record_id"]).select("record_id", "place")
 
 
 @R.query("ref_W2_W3_first_pass", "select page_id, template_id, rec_idx, field_name, arg_min(locator, locator_rank) filter (ok) as locator, case when bool_or(ok) then null else max(reason) end as reason from (select *, coalesce(locator_rank, 99) as lr from outcomes) group by 1, 2, 3, 4")
@@ -321,11 +323,11 @@ def _(spark, d):
     return t(spark, d, "documents").withColumn("r", F.row_number().over(w)).filter("r <= 2").select("doc_id")
 
 
-@R.query("ref_W7_token_budget", "select doc_id from (select doc_id, row_number() over w as i, sum(length(text) + 1) over w - 1 as used from documents window w as (partition by source order by doc_id rows unbounded preceding)) where used <= 4 * 3000 or i = 1")
+@R.query("ref_W7_token_budget", "select doc_id from (select doc_id, row_number() over w as i, coalesce(sum(length(text) + 1) over w, 0) - 1 as used from documents window w as (partition by source order by doc_id rows unbounded preceding)) where used <= 4 * 3000 or i = 1")
 def _(spark, d):
-    w = W.partitionBy("source").orderBy("doc_id").rowsBetween(W.unboundedPreceding, 0)
-    docs = t(spark, d, "documents").select("doc_id", "source", F.length("text").alias("size"))
-    return docs.withColumn("used", F.sum(F.col("size") + 1).over(w) - 1).withColumn("i", F.count(F.lit(1)).over(w)).filter("used <= 4 * 3000 OR i = 1").select("doc_id")
+    docs = t(spark, d, "documents").select("doc_id", "source", F.length("text").cast("long").alias("size"))
+    d_ = running(docs, ["source"], ["doc_id"], {"used": F.col("size") + 1, "i": F.lit(1).cast("long")})
+    return d_.filter("used - 1 <= 4 * 3000 OR i = 1").select("doc_id")
 
 
 @R.query("ref_W8_T3_repair_budget", "select event_id, case when row_number() over (partition by user_id order by ts, event_id) <= 20 then 'attempt' else 'budget-exhausted' end as outcome from events")
