@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pagewright.operators import schema_drift, snapshot_diff, timestamps
-from pagewright.plans import queries_scalar, queries_sets
+from pagewright.plans import oracles, queries_scalar, queries_sets
 
 PARTS = [queries_scalar.R, queries_sets.R]
 
@@ -22,7 +22,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    out: dict = {}
+    out = {"p1_found": oracles.SNAPSHOT_DIFF, "p7_found": oracles.SCHEMA_DRIFT}
     for part in PARTS:
         out |= part.sql
     return out
