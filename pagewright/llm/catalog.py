@@ -23,4 +23,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"p6_found": "select page_id from pages where length(cleaned_html) > 8000", "p9_found": leakage.SQL}

@@ -177,3 +177,9 @@ def p9_report(spark, sf_dir: str) -> DataFrame:
     """item_id, documents that leak it, and the largest share of it that one of them holds."""
     found = leaks(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"), F.round(F.max("coverage"), 4).alias("coverage"))
+
+
+#: DuckDB SQL with the same rows.
+SQL = r"""with d as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from documents), b as (select item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from benchmark),
+ dg as (select doc_id, array_to_string(w[i:i + 11], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 10)) as i from d)), bg as (select distinct item_id, array_to_string(w[i:i + 11], ' ') as g from (select item_id, w, unnest(range(1, len(w) - 10)) as i from b))
+ select distinct doc_id, item_id from dg join bg using (g)"""
