@@ -14,6 +14,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -80,18 +81,29 @@ def peel(cells: list, width: int) -> tuple[bool, list[tuple[int, int, int]]]:
 
 
 _signed = lambda x: x - (1 << 64) if x >> 63 else x
-PEELED = T.StructType(
-    [
-        T.StructField("whole", T.BooleanType()),
-        T.StructField("pairs", T.ArrayType(T.StructType([T.StructField("sign", T.IntegerType()), T.StructField("kh", T.LongType()), T.StructField("vh", T.LongType())]))),
-    ]
-)
-
-
-@F.udf(PEELED, useArrow=True)
-def _peel(cells, width):
-    whole, pairs = peel([tuple(x) for x in cells], width)
-    return whole, [(n, _signed(k), _signed(v)) for n, k, v in pairs] if whole else []
+PEELED = "series {kind}, bucket int, seq int, whole boolean, pairs array<struct<sign:int,kh:long,vh:long>>"
+
+
+def _peel_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Peels the tables of a batch; cells come as flat columns, so no object is made for a cell but its numbers."""
+    pair = pa.struct([("sign", pa.int32()), ("kh", pa.int64()), ("vh", pa.int64())])
+    for batch in batches:
+        tables, widths = batch.column("cells"), batch.column("width").to_pylist()
+        ends = tables.offsets.to_pylist()
+        flat = [x.to_pylist() for x in tables.values.flatten()]
+        whole, offsets, sign, kh, vh = [], [0], [], [], []
+        for i, width in enumerate(widths):
+            a, b = ends[i], ends[i + 1]
+            good, pairs = peel(list(zip(*(x[a:b] for x in flat))), width)
+            whole.append(good)
+            for n, k, v in pairs if good else ():
+                sign.append(n)
+                kh.append(_signed(k))
+                vh.append(_signed(v))
+            offsets.append(len(sign))
+        values = pa.StructArray.from_arrays([pa.array(sign, pa.int32()), pa.array(kh, pa.int64()), pa.array(vh, pa.int64())], fields=list(pair))
+        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+        yield pa.RecordBatch.from_arrays([batch.column("series"), batch.column("bucket"), batch.column("seq"), pa.array(whole, pa.bool_()), lists], names=["series", "bucket", "seq", "whole", "pairs"])
 
 
 def _recover(items: DataFrame, width: Column) -> DataFrame:
@@ -111,7 +123,7 @@ def _recover(items: DataFrame, width: Column) -> DataFrame:
     )
     d = d.filter((F.col("n") != 0) | (F.col("k") != 0) | (F.col("v") != 0) | (F.col("c") != 0))
     d = d.groupBy("series", "bucket", "seq", "width").agg(F.collect_list(F.struct("cell", "n", "k", "v", "c")).alias("cells"))
-    return d.withColumn("p", _peel("cells", "width")).select("series", "bucket", "seq", "p.whole", "p.pairs")
+    return d.mapInArrow(_peel_batches, PEELED.format(kind=items.schema["series"].dataType.simpleString()))
 
 
 def diff_snapshots(items: DataFrame, width: int = 40, rounds: int = 3) -> DataFrame:
