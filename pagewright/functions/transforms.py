@@ -62,10 +62,15 @@ def to_int(c: Column) -> Column:
 
 
 def instant(c: Column) -> Column:
-    """Moment of a text in one of the usual forms; without a zone it is UTC."""
-    forms = ["yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]XXX", "yyyy-MM-dd'T'HH:mm[:ss][.SSS]", "yyyy-MM-dd HH:mm[:ss]", "yyyy-MM-dd", "d MMM yyyy HH:mm:ss 'GMT'", "d MMM yyyy", "MMM d, yyyy", "MMMM d, yyyy"]
+    """Moment of a text in one of the usual forms; without a zone it is UTC. Fractions may have up to nine digits and are
+    cut to microseconds; offsets are Z, +hh:mm or +hhmm. Forms are tried only on texts that begin as they do."""
+    iso = [f"yyyy-MM-dd'T'HH:mm[:ss][.SSSSSSSSS]{zone}" for zone in ("XXX", "XX", "")] + ["yyyy-MM-dd HH:mm[:ss][.SSSSSSSSS]", "yyyy-MM-dd"]
+    day_first = ["d MMM yyyy HH:mm:ss 'GMT'", "d MMM yyyy HH:mm:ss XX", "d MMM yyyy"]
+    month_first = ["MMM d, yyyy", "MMMM d, yyyy"]
     bare = F.regexp_replace(trim(c), "^[A-Z][a-z]{2}, ", "")
-    return let(bare, lambda t: F.coalesce(*[F.try_to_timestamp(t, F.lit(f)) for f in forms]))
+    first = lambda t, forms: F.coalesce(*[F.try_to_timestamp(t, F.lit(f)) for f in forms])
+    begins = lambda t, shape: F.rlike(t, F.lit(shape))
+    return let(bare, lambda t: F.when(begins(t, "^[0-9]{4}-"), first(t, iso)).when(begins(t, "^[0-9]{1,2} [A-Za-z]"), first(t, day_first)).when(begins(t, "^[A-Za-z]+ [0-9]"), first(t, month_first)))
 
 
 def parse_date(c: Column) -> Column:

@@ -80,6 +80,14 @@ column(
 )
 column("outcome_id", "outcomes", {"day": lambda: X.parse_date(raw("raw_text"))}, {"day": "strftime(try_cast(trim(raw_text) as timestamp), '%Y-%m-%dT00:00:00.000Z')"}, "regexp_like(raw_text, '^[0-9]{4}-[0-9]{2}-[0-9]{2}$')", "ref_F8_parse_date")
 R.sql["ref_F8_parse_date"] = R.sql["ref_F8_parse_date"].replace("regexp_like(", "regexp_matches(")
+
+
+@R.query("ref_F8_parse_date_all", None)
+def _(spark, d):
+    """Dates of every outcome's text in all forms; ``ref_F8_parse_date`` is the part of it that DuckDB's cast can say."""
+    return spread(t(spark, d, "outcomes").select("outcome_id", "raw_text")).select("outcome_id", X.parse_date(raw("raw_text")).alias("day"))
+
+
 column(
     "outcome_id", "outcomes", {"url": lambda: X.absolute_url(raw("value"))},
     {"url": f"case when regexp_matches({sql_trim('value')}, '(?i)^https?://[^/?#]+') then lower(regexp_extract({sql_trim('value')}, '^([A-Za-z]+://[^/?#]+)', 1)) || case when regexp_matches(regexp_replace({sql_trim('value')}, '^[A-Za-z]+://[^/?#]+', ''), '^/') then regexp_replace({sql_trim('value')}, '^[A-Za-z]+://[^/?#]+', '') else '/' || regexp_replace({sql_trim('value')}, '^[A-Za-z]+://[^/?#]+', '') end end"},
