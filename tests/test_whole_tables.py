@@ -1,7 +1,12 @@
 """Queries whose SQL can say only a part: over all rows, held against brute force on small tables."""
 
+import random
+from collections import defaultdict
 from datetime import UTC, datetime
 
+import pyarrow as pa
+import pyarrow.parquet as pq
+
 from pagewright import catalog
 
 
@@ -32,3 +37,19 @@ def test_dates_of_all_forms(spark, tables):
     want = {(i, by_hand(x)) for i, x in enumerate(DATES)}
     assert sum(day is not None for _, day in want) == 19
     assert rows(spark, "ref_F8_parse_date_all", tables(outcomes=[{"outcome_id": i, "raw_text": x} for i, x in enumerate(DATES)])) == want
+
+
+def test_search_takes_the_edges_of_every_line(spark, tmp_path):
+    rng = random.Random(3)
+    lines = [(rng.randint(1, 60), rng.randint(1, 40), rng.choice([1.0, 20.0, 45.0, 46.0, 50.0])) for _ in range(90)] + [(1, 1, 3.0)]
+    pq.write_table(pa.table({"l_partkey": pa.array([x[0] for x in lines], pa.int64()), "l_suppkey": pa.array([x[1] for x in lines], pa.int64()), "l_quantity": [x[2] for x in lines]}), tmp_path / "lineitem.parquet")
+    next_to = defaultdict(set)
+    for part, supplier, _ in lines:
+        next_to[part].add(-supplier)
+        next_to[-supplier].add(part)
+    depth, level = {1: 0}, {1}
+    for k in (1, 2, 3):
+        level = {x for n in level for x in next_to[n]} - set(depth)
+        depth |= dict.fromkeys(level, k)
+    assert 3 in depth.values() and len(depth) < len(next_to)
+    assert rows(spark, "ref_G1_bfs_all", str(tmp_path)) == set(depth.items())
