@@ -45,6 +45,13 @@ SIGNS = "–—‘’“”„…€£½¼¾²³°™©®«»¿¡·×§"
 CODE = r"(?is)<(code|pre|samp|kbd|tt)\b[^>]*>.*?</\1\s*>|`[^`\n]{1,200}`"
 TOKEN = r"[^\x00-\x20<>\"()\[\]{},;/|=]*[^\x00-\x7f][^\x00-\x20<>\"()\[\]{},;/|=]*"
 RUN = r"[^\x00-\x7f]+"
+#: Letters of scripts without blanks between words, and with them their punctuation and full-width forms. No
+#: chain leaves one of them, so garbled text ends there. Full-width letters alone are Latin text.
+SCRIPT = r"\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u2e80-\u2fff\u3005-\u3007\u3021-\ud7ff\uf900-\ufaff\uff66-\uffdc\U00020000-\U0003ffff"
+FOREIGN = rf"[{SCRIPT}\u3000-\u3020\ufe30-\ufe4f\uff00-\uffef]+"
+#: Signs of the longest word; what is longer is read run by run of non-ASCII signs, each with the letters beside it.
+WORD = 40
+BESIDE = r"[\x00-\x7f]{0,6}[^\x00-\x7f]+[\x00-\x7f]{0,6}"
 
 
 def _to_bytes(text: str, codec: str) -> bytes | None:
@@ -108,14 +115,27 @@ def invert(token: str, chain: str) -> str | None:
     return out if hit else None
 
 
-def features(token: str) -> list[int]:
+def stretches(token: str) -> list[tuple[int, str]]:
+    """(position, part) of a token, so that a garbled place is not outweighed by what stands around it: the parts between
+    signs of scripts without blanks, and of a part longer than WORD each run of non-ASCII signs. What a chain made of one
+    sign is never cut apart, and only ASCII and foreign signs are left out."""
+    out, at = [], 0
+    for k, part in enumerate(re.split(f"({FOREIGN})", token) if re.search(f"[{SCRIPT}]", token) else [token]):
+        if k % 2 == 0 and not part.isascii():
+            out += [(at, part)] if len(part) <= WORD else [(at + m.start(), m[0]) for m in re.finditer(BESIDE, part)]
+        at += len(part)
+    return out
+
+
+def features(token: str) -> np.ndarray:
     """Hashed byte bigrams of a token in UTF-8, with its ends: once as it stands, once with plain letters by case only."""
     shape = re.sub("[a-z]+", "a", re.sub("[A-Z]+", "A", re.sub("[0-9]+", "0", token)))
     out = []
     for text, salt in ((token.lower() if token.isascii() else token, 0), (shape, 40503)):
-        data = bytes([2]) + text.encode("utf-8", "replace")[:400] + bytes([3])
-        out += [(a * 257 + b * 7919 + salt) % BUCKETS for a, b in zip(data, data[1:]) if a > 127 or b > 127 or a < 4 or b < 4]
-    return out
+        data = np.frombuffer(bytes([2]) + text.encode("utf-8", "replace") + bytes([3]), np.uint8).astype(np.int64)
+        a, b = data[:-1], data[1:]
+        out.append(((a * 257 + b * 7919 + salt) % BUCKETS)[(a > 127) | (b > 127) | (a < 4) | (b < 4)])
+    return np.concatenate(out)
 
 
 def train(texts: list[str]) -> dict:
@@ -145,7 +165,7 @@ class Repairer:
 
     def __init__(self, model: dict):
         self.model, self.seen = model, {}
-        self.tokens, self.code = re.compile(TOKEN), re.compile(CODE)
+        self.tokens, self.code, self.script, self.foreign = re.compile(TOKEN), re.compile(CODE), re.compile(f"[{SCRIPT}]"), re.compile(FOREIGN)
         self.multi = [k for k, name in enumerate(model["names"]) if k and CHAINS[name][0][0] == "utf-8"]
         self.single = [k for k, name in enumerate(model["names"]) if k and CHAINS[name][0][0] != "utf-8"]
 
@@ -172,27 +192,30 @@ class Repairer:
 
     def segment(self, text: str, chains: Counter) -> str:
         """One line or element, restored. A single-byte chain is judged over all tokens of a segment, as it leaves no
-        sign of its own: one rightly written accent speaks against it."""
-        found = list(self.tokens.finditer(text))
+        sign of its own: one rightly written accent speaks against it. Tokens are read in stretches, each over all its bytes."""
+        tokens = list(self.tokens.finditer(text))
+        found = [(m.start() + at, part) for m in tokens for at, part in stretches(m[0])]
         if not found:
             return text
-        judged = [self.judge(m[0]) for m in found]
+        judged = [self.judge(part) for _, part in found]
         rest = [j for j in judged if j[0] is None]
         single = None
         if rest:
-            odds = sum(j[1] for j in rest) + self.SINGLE
+            # Foreign signs come out of no chain: they may speak against one, never for it.
+            foreign = ["".join(self.foreign.findall(m[0])) for m in tokens if self.script.search(m[0])]
+            odds = sum(j[1] for j in rest) + sum(np.minimum(self.judge(x)[1], 0) for x in foreign) + self.SINGLE
             k = int(odds.argmax())
             if odds[k] <= 0:
                 k = int(max(rest, key=lambda j: j[1].max())[1].argmax())
             if odds[k] > 0 or max(j[1][k] for j in rest) >= self.PLAIN:
                 single = self.model["names"][self.single[k]]
         out, at = [], 0
-        for m, (multi, _) in zip(found, judged, strict=True):
-            chain, new = multi or (single, invert(m[0], single) if single else None)
+        for (start, part), (multi, _) in zip(found, judged, strict=True):
+            chain, new = multi or (single, invert(part, single) if single else None)
             if new is not None:
                 chains[chain] += 1
-                out += [text[at : m.start()], new]
-                at = m.end()
+                out += [text[at:start], new]
+                at = start + len(part)
         return "".join(out) + text[at:]
 
     def repair(self, text: str | None) -> tuple[bool, str | None, str | None]:
