@@ -498,6 +498,14 @@ def _(spark, d):
     return extract.execute(pages.filter(~odd), program, "cleaned_html").select("page_id", F.nullif(F.col("value"), F.lit("")).alias("title"))
 
 
+@R.query("ref_H9_title_all", None)
+def _(spark, d):
+    """The title field with its rule over every page, null where no locator passes; ``ref_H9_title`` is the part of it that a
+    regular expression can say."""
+    program = read_program(PROGRAM | {"pageTemplates": [{"id": "page", "fields": {"title": PROGRAM["pageTemplates"][0]["fields"]["title"]}}]})
+    return extract.execute(t(spark, d, "pages"), program, "cleaned_html").select("page_id", F.col("value").alias("title"))
+
+
 @R.query("ref_H1_clean", None)
 def _(spark, d):
     """Every page without boilerplate: markup, text, title, language."""

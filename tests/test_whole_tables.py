@@ -3,6 +3,7 @@
 import random
 from collections import defaultdict
 from datetime import UTC, datetime
+from html.parser import HTMLParser
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -53,3 +54,44 @@ def test_search_takes_the_edges_of_every_line(spark, tmp_path):
         depth |= dict.fromkeys(level, k)
     assert 3 in depth.values() and len(depth) < len(next_to)
     assert rows(spark, "ref_G1_bfs_all", str(tmp_path)) == set(depth.items())
+
+
+class Headings(HTMLParser):
+    """(is a child of an article, text) of every h1."""
+
+    def __init__(self):
+        super().__init__()
+        self.path, self.found = [], []
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "h1":
+            self.found.append([self.path[-1:] == ["article"], ""])
+        if tag != "br":
+            self.path.append(tag)
+
+    def handle_endtag(self, tag):
+        self.path.pop()
+
+    def handle_data(self, data):
+        if "h1" in self.path:
+            self.found[-1][1] += data
+
+
+PAGES = ["<article><h1>Plain</h1><p>x</p></article>", "<article><h1> Caf&eacute; &amp;\n  <b>bar</b>\u00a0 &#8211; \u3000open </h1></article>", "<main><h1>Outside</h1></main>", "<div><h1>First</h1><article><p>x</p><h1>Second</h1></article></div>",
+         "<h1>Beside</h1><article><h1>" + "long " * 90 + "</h1></article>", "<article><h1> </h1></article><h1>After</h1>", "<article><h1>" + "x" * 399 + "</h1></article>", "<p>none</p>", "<article><div><h1>Deep</h1></div></article>", "", None]
+
+
+def title_by_hand(page):
+    p = Headings()
+    p.feed(page or "")
+    # Each locator takes its first h1; the next one is asked if that fails the rule.
+    for among in ([x for child, x in p.found if child], [x for _, x in p.found]):
+        if among and 0 < len(title := " ".join(among[0].split())) < 400:
+            return title
+    return None
+
+
+def test_titles_of_every_page(spark, tables):
+    want = {(i, title_by_hand(x)) for i, x in enumerate(PAGES)}
+    assert {"Café & bar – open", "Outside", "Second", "Beside", "Deep", None} < {x for _, x in want}
+    assert rows(spark, "ref_H9_title_all", tables(pages=[{"page_id": i, "url": f"https://a.example/{i}", "cleaned_html": x} for i, x in enumerate(PAGES)])) == want
