@@ -78,18 +78,18 @@ def tiles(a: list[str], b: list[str], least: int = LEAST) -> list[tuple[int, int
     return out
 
 
-def seed_table(items: list[tuple[int, str]]) -> dict:
-    """Sorted seed hashes, the item of each, and the items' words."""
+def seed_table(items: list[tuple[int | None, str]]) -> dict:
+    """Sorted seed hashes, the place of the item of each, and the items' ids and words by place: an id may come with several texts."""
     find = re.compile(WORD).findall
-    words = {i: find((t or "").lower()) for i, t in items}
+    words = [find((t or "").lower()) for _, t in items]
     hashes, owner = [], []
-    for i, w in words.items():
+    for i, w in enumerate(words):
         h = rolled(np.array([word_hash(x) for x in w], dtype=np.uint64))
         hashes.append(h)
         owner += [i] * len(h)
     h = np.concatenate(hashes) if hashes else np.empty(0, dtype=np.uint64)
     order = np.argsort(h, kind="stable")
-    return {"hash": h[order], "item": np.array(owner, dtype=np.int64)[order], "words": words}
+    return {"hash": h[order], "item": np.array(owner, dtype=np.int64)[order], "ids": [i for i, _ in items], "words": words}
 
 
 class Searcher:
@@ -98,7 +98,7 @@ class Searcher:
     KEEP = 500_000
 
     def __init__(self, seeds: dict):
-        self.hash, self.item, self.words = seeds["hash"], seeds["item"], seeds["words"]
+        self.hash, self.item, self.ids, self.words = seeds["hash"], seeds["item"], seeds["ids"], seeds["words"]
         self.find = re.compile(WORD).findall
         self.known: dict[str, int] = {}
 
@@ -110,7 +110,7 @@ class Searcher:
             known[w] = word_hash(w)
         return np.array([known[w] for w in words], dtype=np.uint64)
 
-    def look(self, text: str | None) -> list[tuple[int, int, int]]:
+    def look(self, text: str | None) -> list[tuple[int | None, int, int]]:
         """(item, words in tiles, words of the item) of the items that share a run with the text."""
         if not text or not len(self.hash):
             return []
@@ -127,21 +127,24 @@ class Searcher:
         out = []
         for item in sorted({int(i) for a, b in zip(lo, hi, strict=True) for i in self.item[a:b]}):
             if found := tiles(words, self.words[item]):
-                out.append((item, sum(t[2] for t in found), len(self.words[item])))
+                out.append((self.ids[item], sum(t[2] for t in found), len(self.words[item])))
         return out
 
 
 def leaks(spark, documents: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id, words (in tiles) and coverage (their share of the item) of every document and item that share at
-    least LEAST consecutive words. Items are read in blocks of bounded size, each searched for in all documents."""
+    least LEAST consecutive words. Items are read in blocks of bounded size, each searched for in all documents. Every text of
+    an item_id that comes more than once is searched for, the fullest counts; a null item_id is one as well."""
+    items = items.filter("text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
     out = None
     last = None
     while True:
-        block = items if last is None else items.filter(F.col("item_id") > F.lit(last))
-        rows = block.filter("item_id IS NOT NULL").orderBy("item_id").limit(ITEMS).collect()
+        # Nulls come first in either order.
+        block = items if last is None else items.filter(F.struct("item_id", "text") > F.struct(F.lit(last.item_id).cast("long").alias("item_id"), F.lit(last.text).alias("text")))
+        rows = block.orderBy("item_id", "text").limit(ITEMS).collect()
         if not rows and out is not None:
             break
-        last = rows[-1].item_id if rows else None
+        last = rows[-1] if rows else None
         todo, size = [], 0
         for r in [*rows, None]:
             if r is not None:
@@ -163,7 +166,8 @@ def _search(spark, documents: DataFrame, seeds: dict) -> DataFrame:
         searcher = Searcher(shared.value)
         for batch in batches:
             rows = [(d, i, n, n / size) for d, text in zip(batch["doc_id"], batch["text"], strict=True) for i, n, size in searcher.look(text)]
-            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "words", "coverage"])
+            found = pd.DataFrame(rows, columns=["doc_id", "item_id", "words", "coverage"])
+            yield found.assign(item_id=pd.array([r[1] for r in rows], dtype="Int64"))
 
     return spread(documents.select("doc_id", "text")).mapInPandas(each, "doc_id long, item_id long, words int, coverage double")
 
