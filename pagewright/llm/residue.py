@@ -66,7 +66,7 @@ FILLER = [
 ]
 # How error messages begin, by language.
 ERRORS = [
-    r"(?:http )?(?:error |status )?[45]\d\d\s?(?:error\b|[–—:|-]\s|(?:page )?not found|forbidden|unauthorized|bad gateway|service|internal|gateway|access|too many|we )", r"error [45]\d\d\s?[:–—.-]", r"error [45]\d\d$",
+    r"(?:http )?(?:error |status )?[45]\d\d\s?(?:error\b|[–—:|-]\s(?!\d)|(?:page )?not found|forbidden|unauthorized|bad gateway|service|internal|gateway|access|too many|we )", r"error [45]\d\d\s?[:–—.-]", r"error [45]\d\d$",
     r"(?:oops|uh[- ]oh|whoops|sorry)\W{1,3}(?:something|an? |we |the |this |that )", r"something went wrong", r"an (?:unexpected |internal |unknown )?error (?:has )?occurred", r"(?:internal|unexpected) (?:server )?error\b", r"bad gateway|gateway time-?out|request time(?:d )?-?out",
     r"(?:this |the )?(?:page|file|document|resource|item|product)s? (?:was |could |can|is )?not (?:be )?found", r"(?:we )?(?:could not|couldn't|cannot|can't) find (?:that|the|this) (?:page|file|document)", r"(?:this |our |the )?(?:site|website|service|server|page) is (?:currently |temporarily |now )?(?:down|unavailable|offline|under (?:planned )?maintenance)", r"(?:service|site|page) (?:is )?(?:temporarily |currently )?unavailable",
     r"(?:your )?session (?:has )?(?:expired|timed out)", r"too many requests", r"(?:access|permission) (?:is |was )?(?:denied|forbidden)", r"you do(?: not|n't) have permission", r"(?:connection|connecting) to (?:the )?(?:database|server|host|upstream).{0,20}(?:failed|refused|lost|timed out)", r"(?:fatal|database|parse|syntax) error\b\s?[:(-]", r"(?:checking|verifying) (?:that|if|whether) you are (?:not a robot|human|a human)", r"(?:please )?(?:complete|solve) the (?:captcha|security check)",
@@ -81,24 +81,23 @@ NOTICES = [
     r"(?:veuillez|merci d')\s?(?:activer|autoriser) (?:java)?scripts?", r"javascript (?:est|doit être) (?:désactivé|requis|nécessaire|activé)", r"activez javascript", r"(?:bitte )?(?:aktivieren|schalten|erlauben) sie (?:bitte )?(?:java)?s[ck]ripte?", r"javascript ist (?:deaktiviert|erforderlich|ausgeschaltet)|(?:diese seite|diese app) (?:benötigt|braucht|funktioniert nicht ohne) javascript",
     r"(?:por favor,? )?(?:active|habilite|activa|habilita) (?:java)?scripts?\b", r"javascript está (?:desactivado|deshabilitado)|(?:se requiere|necesita(?: activar| habilitar)?) javascript", r"(?:debe|necesita) (?:activar|habilitar) javascript",
 ]
-# Every message above holds one of these words (or repeats a word); texts without are not looked at closer.
-CUES = frozenset(
-    "here folgt steht kommt platzhalter platzhaltertext blindtext mustertext ici votre remplissage venir aquí ejemplo relleno sample dummy placeholder filler example untitled copy todo tbd fixme undefined null nan none nil "
-    "object asdf qwer qwerty foo abc xxx xx xxxx blah bla test text error errors erreur fehler serverfehler found forbidden unauthorized gateway oops sorry whoops wrong unavailable maintenance offline down expired timed "
-    "timeout out requests denied permission refused failed lost robot human captcha security find introuvable trouvée existe indisponible refusé interdit expiré requêtes gefunden verfügbar erreichbar verweigert aufgetreten "
-    "abgelaufen anfragen encontrada encuentra encontrado interno disponible denegado prohibido caducado expirado solicitudes occurred service servicio dienst javascript script scripts skripte skript lorem ipsum".split()
-) | frozenset(w for w in LATIN if len(w) > 4)
 TAIL = r"\s*(?:\(?\b(?:ref|reference|incident|request|code|id|referenz|référence)\b\.?[^)]{0,60}\)?\.?\s*)?$"
 CODE = r"(?is)<(script|style|template|svg|pre|code|samp|kbd|tt|textarea|xmp)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)"
 BLOCK = r"(?i)</?(?:p|div|h[1-6]|li|ul|ol|table|thead|tbody|tr|td|th|section|article|main|header|footer|nav|aside|figure|figcaption|blockquote|dl|dt|dd|hr|br|noscript|form|title|body|html|option|select)\b[^>]*>"
-#: Messages are short; a longer text that begins like one is about something.
+#: One message is short; a longer text is taken sentence by sentence, as what begins like a message may be about something.
 MESSAGE = 220
+SENTENCE = r"(?<=[.!?…])\s+|\n+"
 
 
 class Residue:
-    """The compiled grammars."""
+    """The compiled grammars; remembers the short texts it has judged."""
+
+    KEEP = 100_000
 
     def __init__(self):
+        self.seen: dict[str, str | None] = {}
+        self.sentence, self.trailer = re.compile(SENTENCE), re.compile(r"(?i)\(?(?:ref|reference|incident|request|trace|code|id|referenz|référence)\b[^\s\w]*(?:\s(?:no|nr|id)\b\.?)?\s*:?\s*\S*\d")
+        self.unit = re.compile("(?i)(?:" + "|".join(FILLER) + r")(?:[.!…:\s]+|$)")
         self.slot, self.before, self.after = re.compile(SLOT), re.compile(TALK_BEFORE), re.compile(TALK_AFTER)
         self.slot_cue = re.compile(r"[{<\[@*%_$#](?:[{<\[@|%_(]|[A-Za-z0-9])")
         self.filler = re.compile("(?i)(?:(?:" + "|".join(FILLER) + r")[.!…:\s]*)+")
@@ -120,22 +119,49 @@ class Residue:
                 return True
         return False
 
-    def suspect(self, words: list[str]) -> bool:
-        return not CUES.isdisjoint(words) or any(a == b for a, b in zip(words, words[1:]))
-
     def message(self, text: str) -> str | None:
-        """filler, error or notice, where the text is nothing else."""
-        words = self.words.findall(text.lower())
-        if not self.suspect(words):
-            return None
+        """filler, error or notice, where the text is nothing else; of a longer one, where most of its letters are."""
         text = text.strip()
-        if len(text) <= MESSAGE and (not text[0].isdigit() or text[0] in "45"):
+        if len(text) > MESSAGE:
+            return self.latin(text) or self.longer(text)
+        if text not in self.seen:
+            if len(self.seen) >= self.KEEP:
+                self.seen.clear()
+            self.seen[text] = (self.short(text) or self.latin(text)) if text else None
+        return self.seen[text]
+
+    def short(self, text: str) -> str | None:
+        if not text[0].isdigit() or text[0] in "45":
             if self.notice.match(text):
                 return "notice"
             if self.error.match(text):
                 return "error"
             if self.filler.fullmatch(self.tail.sub("", text)) and text.lower() != "none":
                 return "filler"
+        return None
+
+    def longer(self, text: str) -> str | None:
+        """By the share of sentences that are messages; references behind an error are no text of their own."""
+        size, weight = 0, {}
+        for x in filter(None, map(str.strip, self.sentence.split(text))):
+            if self.trailer.match(x):
+                continue
+            kind, n = (self.short(x) or self.latin(x), len(x)) if len(x) <= MESSAGE else ("filler", self.units(x))
+            size += len(x)
+            if kind and n:
+                weight[kind] = weight.get(kind, 0) + n
+        return max(weight, key=weight.get) if weight and sum(weight.values()) >= DENSITY * size else None
+
+    def units(self, text: str) -> int:
+        """Signs of the filler phrases, one after the other, that a text begins with."""
+        at = 0
+        while at < len(text) and (m := self.unit.match(text, at)) and m.end() > at:
+            at = m.end()
+        return at
+
+    def latin(self, text: str) -> str | None:
+        """filler, where the words are filler Latin or one or two words over and over."""
+        words = self.words.findall(text.lower())
         if len(words) >= 3:
             latin = sum(w in LATIN for w in words)
             if latin >= 0.7 * len(words) and ("lorem" in words or "ipsum" in words or len({w for w in words if w in LATIN and len(w) > 3}) >= 2):
@@ -165,10 +191,9 @@ class Residue:
         both = "\n".join(texts)
         if self.slot_cue.search(both) and any(map(self.has_slot, texts)):
             return "slot"
-        if self.suspect(self.words.findall(both.lower())):
-            for x in texts:
-                if kind := self.message(x):
-                    return kind
+        for x in texts:
+            if kind := self.message(x):
+                return kind
         return None
 
     def blocks(self, page: str) -> list[str]:
