@@ -1,9 +1,9 @@
 """Schemas that drift between versions and runs: one consistent table, and a list of every change.
 
 Two neighbouring versions of a schema are compared per template. Fields that are gone and fields that are new form the
-two sides of a bipartite graph whose edges are scored by value sketch (the locators of a declared field, the smallest
-value hashes of a data column), type and similarity of names; a minimum-cost matching finds the renames. The matched
-names then become one column.
+two sides of a bipartite graph whose edges are scored by the locators of a declared field, type and similarity of names;
+a minimum-cost matching finds the renames. The matched names then become one column. Record columns have no value
+sketches (smallest value hashes): none is built, and no rename is searched among them.
 
 All comparisons are made per (job, version, template): a group holds the fields of two versions of one template, which is
 bounded by the size of a program, whatever the number of rows.
