@@ -17,6 +17,7 @@ def queries() -> dict:
         "p6_pieces": chunking.p6_pieces,
         "p8_ids": tokenize.p8_ids,
         "p9_found": leakage.p9_found,
+        "p9_covered": leakage.p9_covered,
         "p9_report": leakage.p9_report,
         "p10_found": keyword_spam.p10_found,
     }

@@ -1,32 +1,44 @@
 """Evaluation passages inside a training corpus, by greedy string tiling.
 
-The runs of LEAST words of the test items are hashed by Karp and Rabin's rolling polynomial. The same hashes, rolled over
-every document, meet them in a join: a shared run is a seed. A document and an item that share a seed are then tiled:
-the longest common runs of words that are not marked yet are marked again and again, so that passages in another order
-are found too, and the marked share of the item tells how much of it leaked. Equal hashes are always held against words.
-
-The seeds are kept in blocks of BLOCK at most; each block is a broadcast of known size against all documents.
+Seeds are runs of SEED words, hashed by Karp and Rabin's rolling polynomial; of every WINDOW neighbouring ones the one of
+smallest hash is kept, so a text and an item that share LEAST words in a row share a kept seed. Documents and items meet on
+their seeds. A pair that meets is tiled: the longest run of words that both have and that is not marked yet is marked, again
+and again, and what share of the item lies in tiles is its coverage, so that passages in another order are caught.
+
+The longest run is found by bisection over its length: the Karp-Rabin hashes of all unmarked runs of one length come from
+the rolling sums of the text, so a round is linear in document and item; hashes that meet are held against the words. An
+item has at most as many rounds as tiles fit into it, whatever the texts repeat.
+
+Two plans give the same rows. Up to BLOCK words of items are broadcast, and the corpus is read once, without a shuffle.
+More items meet the corpus in a join on seeds, after a filter of fixed size that lets few documents' seeds through; the
+corpus is read once for its seeds and once for the texts that met an item.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.sources.tables import spread, table
+from pagewright.sources.tables import cut, spread, table
 
 LEAST = 12
-#: Seeds (runs of words of test items) in one broadcast: about 100 MB at most with the items' words.
+#: A kept seed has SEED words and is the least of WINDOW neighbours: SEED + WINDOW - 1 = LEAST.
+SEED, WINDOW = 8, 5
+#: Words of test items that are broadcast, 50 MB of Python objects at most; with more, items and documents are joined.
 BLOCK = 1_000_000
-#: Rows of test items read by the driver at a time.
-ITEMS = 5_000
-BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Bits of the filter over the items' seeds in the join, 16 MB; more seeds let more through, no true one is stopped.
+FILTER_BITS = 1 << 27
+#: Parts into which an item that many documents hold is dealt out, so that no task gets all of them.
+SALTS = 16
+#: Share of an item that a document must hold to be named by ``p9_covered``.
+COVERED = 0.5
+BASE = 0x9E3779B97F4A7C15
 WORD = r"[^\W_]+"
 
 
@@ -36,55 +48,123 @@ def word_hash(word: str) -> int:
     return xxhash.xxh64_intdigest(word)
 
 
-def rolled(hashes: np.ndarray, width: int = LEAST) -> np.ndarray:
-    """Karp-Rabin hashes of all runs of ``width`` words, modulo 2**64."""
+def rolled(hashes: np.ndarray, width: int) -> np.ndarray:
+    """Karp-Rabin hashes of all runs of ``width`` words, modulo 2**64, from their rolling sums: H[i+w] - H[i] * B**w."""
     n = len(hashes) - width + 1
     if n <= 0:
         return np.empty(0, dtype=np.uint64)
-    out = np.zeros(n, dtype=np.uint64)
-    for i in range(width):
-        out = out * BASE + hashes[i : i + n]
-    return out
+    if width <= 16:
+        out, base = hashes[:n].copy(), np.uint64(BASE)
+        for i in range(1, width):
+            out = out * base + hashes[i : i + n]
+        return out
+    sums = [0]
+    for x in hashes.tolist():
+        sums.append((sums[-1] * BASE + x) & 0xFFFFFFFFFFFFFFFF)
+    sums = np.array(sums, dtype=np.uint64)
+    return sums[width:] - sums[:n] * np.uint64(pow(BASE, width, 1 << 64))
+
+
+class Rolling:
+    """A sequence of words as numbers, with its rolling sums and its marks."""
+
+    def __init__(self, words: np.ndarray):
+        self.words, sums, powers = words, [0], [1]
+        for x in words.tolist():
+            sums.append((sums[-1] * BASE + x * 0x2545F4914F6CDD1D + 1) & 0xFFFFFFFFFFFFFFFF)
+            powers.append((powers[-1] * BASE) & 0xFFFFFFFFFFFFFFFF)
+        self.sums, self.powers = np.array(sums, dtype=np.uint64), np.array(powers, dtype=np.uint64)
+        self.marks = np.zeros(len(words) + 1, dtype=np.int64)  # marks before each place
+
+    def runs(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the unmarked runs of a width, and their hashes."""
+        n = len(self.words) - width + 1
+        if n <= 0:
+            return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64)
+        free = np.flatnonzero(self.marks[width:] == self.marks[:n])
+        return free, self.sums[free + width] - self.sums[free] * self.powers[width]
+
+    def mark(self, place: int, width: int) -> None:
+        self.marks[place + 1 : place + width + 1] += np.arange(1, width + 1)
+        self.marks[place + width + 1 :] += width
+
+
+def common(a: Rolling, b: Rolling, width: int) -> tuple[int, int] | None:
+    """First place in ``a``, and in ``b``, of an unmarked run of a width that both have, held against the words."""
+    at_a, hash_a = a.runs(width)
+    at_b, hash_b = b.runs(width)
+    if not len(at_a) or not len(at_b):
+        return None
+    hash_b, first = np.unique(hash_b, return_index=True)
+    k = np.searchsorted(hash_b, hash_a)
+    k[k == len(hash_b)] = 0
+    for i in np.flatnonzero(hash_b[k] == hash_a).tolist():
+        x, y = int(at_a[i]), int(at_b[first[k[i]]])
+        if np.array_equal(a.words[x : x + width], b.words[y : y + width]):
+            return x, y
+    return None
 
 
 def tiles(a: list[str], b: list[str], least: int = LEAST) -> list[tuple[int, int, int]]:
-    """Greedy string tiling: (place in a, place in b, length) of the longest unmarked common runs, longest first."""
-    marked_a, marked_b, out = [False] * len(a), [False] * len(b), []
-    at = defaultdict(list)
-    for j in range(len(b) - least + 1):
-        at[hash(tuple(b[j : j + least]))].append(j)
-    seeds = [(i, j) for i in range(len(a) - least + 1) for j in at.get(hash(tuple(a[i : i + least])), ()) if a[i : i + least] == b[j : j + least]]
-    while seeds:
-        best, most = [], least
-        for i, j in seeds:
-            if marked_a[i] or marked_b[j] or (i and j and a[i - 1] == b[j - 1] and not marked_a[i - 1] and not marked_b[j - 1]):
-                continue  # taken, or not where its run begins
-            k = 0
-            while i + k < len(a) and j + k < len(b) and a[i + k] == b[j + k] and not marked_a[i + k] and not marked_b[j + k]:
-                k += 1
-            if k > most:
-                best, most = [(i, j)], k
-            elif k == most:
-                best.append((i, j))
-        if not best:
+    """Greedy string tiling: (place in a, place in b, length) of the longest unmarked common runs, longest first; of equal
+    ones the first in a. Words of one text that the other lacks split it before anything is hashed."""
+    number: dict[str, int] = {}
+    y = Rolling(np.array([number.setdefault(w, len(number)) for w in b], dtype=np.int64))
+    lacking = len(number)
+    x = Rolling(np.array([number.get(w, lacking) for w in a], dtype=np.int64))
+    out, most = [], min(len(a), len(b))
+    while most >= least:
+        best, low, high = None, least, most
+        # A longer common run holds every shorter one, so the length of the longest can be bisected.
+        while low <= high:
+            width = (low + high + 1) // 2 if best else low
+            found = common(x, y, width)
+            if found is None:
+                high = width - 1
+            else:
+                best, low = (*found, width), width + 1
+        if best is None:
             break
-        for i, j in best:
-            if any(marked_a[i : i + most]) or any(marked_b[j : j + most]):
-                continue
-            marked_a[i : i + most] = [True] * most
-            marked_b[j : j + most] = [True] * most
-            out.append((i, j, most))
-        seeds = [(i, j) for i, j in seeds if not marked_a[i] and not marked_b[j] and not marked_a[min(i + least, len(a)) - 1] and not marked_b[min(j + least, len(b)) - 1]]
+        out.append(best)
+        x.mark(best[0], best[2])
+        y.mark(best[1], best[2])
+        most = best[2]
     return out
 
 
+class Words:
+    """Words of texts and their hashes; remembers the hashes of words."""
+
+    KEEP = 500_000
+
+    def __init__(self):
+        self.find = re.compile(WORD).findall
+        self.known: dict[str, int] = {}
+
+    def read(self, text: str | None) -> tuple[list[str], np.ndarray]:
+        words, known = self.find((text or "").lower()), self.known
+        if len(known) > self.KEEP:
+            known.clear()
+        for w in set(words).difference(known):
+            known[w] = word_hash(w)
+        return words, np.array([known[w] for w in words], dtype=np.uint64)
+
+
+def kept_seeds(hashes: np.ndarray) -> np.ndarray:
+    """Distinct hashes of the seeds that are the least of some WINDOW neighbours."""
+    h = rolled(hashes, SEED)
+    if len(h) < WINDOW:
+        return np.empty(0, dtype=np.uint64)
+    return np.unique(np.lib.stride_tricks.sliding_window_view(h, WINDOW).min(axis=1))
+
+
 def seed_table(items: list[tuple[int | None, str]]) -> dict:
     """Sorted seed hashes, the place of the item of each, and the items' ids and words by place: an id may come with several texts."""
-    find = re.compile(WORD).findall
-    words = [find((t or "").lower()) for _, t in items]
-    hashes, owner = [], []
-    for i, w in enumerate(words):
-        h = rolled(np.array([word_hash(x) for x in w], dtype=np.uint64))
+    words, hashes, owner, reader = [], [], [], Words()
+    for i, (_, t) in enumerate(items):
+        w, h = reader.read(t)
+        h = np.unique(rolled(h, LEAST))
+        words.append(w)
         hashes.append(h)
         owner += [i] * len(h)
     h = np.concatenate(hashes) if hashes else np.empty(0, dtype=np.uint64)
@@ -92,30 +172,19 @@ def seed_table(items: list[tuple[int | None, str]]) -> dict:
     return {"hash": h[order], "item": np.array(owner, dtype=np.int64)[order], "ids": [i for i, _ in items], "words": words}
 
 
-class Searcher:
-    """Rolls over documents against one block of seeds."""
-
-    KEEP = 500_000
+class Searcher(Words):
+    """Rolls over documents against the seeds of all items."""
 
     def __init__(self, seeds: dict):
+        super().__init__()
         self.hash, self.item, self.ids, self.words = seeds["hash"], seeds["item"], seeds["ids"], seeds["words"]
-        self.find = re.compile(WORD).findall
-        self.known: dict[str, int] = {}
-
-    def hashes(self, words: list[str]) -> np.ndarray:
-        known = self.known
-        if len(known) > self.KEEP:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = word_hash(w)
-        return np.array([known[w] for w in words], dtype=np.uint64)
 
     def look(self, text: str | None) -> list[tuple[int | None, int, int]]:
         """(item, words in tiles, words of the item) of the items that share a run with the text."""
         if not text or not len(self.hash):
             return []
-        words = self.find(text.lower())
-        h = rolled(self.hashes(words))
+        words, h = self.read(text)
+        h = rolled(h, LEAST)
         if not len(h):
             return []
         at = np.searchsorted(self.hash, h)
@@ -131,52 +200,111 @@ class Searcher:
         return out
 
 
-def leaks(spark, documents: DataFrame, items: DataFrame) -> DataFrame:
+FOUND = "doc_id long, item_id long, words int, coverage double"
+
+
+def leaks(spark, documents: DataFrame, items: DataFrame, block: int = BLOCK) -> DataFrame:
     """doc_id, item_id, words (in tiles) and coverage (their share of the item) of every document and item that share at
-    least LEAST consecutive words. Items are read in blocks of bounded size, each searched for in all documents. Every text of
-    an item_id that comes more than once is searched for, the fullest counts; a null item_id is one as well."""
+    least LEAST consecutive words. Every text of an item_id that comes more than once is searched for, the fullest counts; a
+    null item_id is one as well. Documents that repeat give their rows once. Null and short texts share nothing."""
     items = items.filter("text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
-    out = None
-    last = None
-    while True:
-        # Nulls come first in either order.
-        block = items if last is None else items.filter(F.struct("item_id", "text") > F.struct(F.lit(last.item_id).cast("long").alias("item_id"), F.lit(last.text).alias("text")))
-        rows = block.orderBy("item_id", "text").limit(ITEMS).collect()
-        if not rows and out is not None:
-            break
-        last = rows[-1] if rows else None
-        todo, size = [], 0
-        for r in [*rows, None]:
-            if r is not None:
-                todo.append((r.item_id, r.text))
-                size += len(r.text or "") // 4
-            if todo and (r is None or size > BLOCK) or (r is None and out is None):
-                found = _search(spark, documents, seed_table(todo))
-                out = found if out is None else out.unionByName(found)
-                todo, size = [], 0
-        if len(rows) < ITEMS:
-            break
-    return out.groupBy("doc_id", "item_id").agg(F.max("words").alias("words"), F.max("coverage").alias("coverage"))
+    documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # A word has a sign at least and a blank beside it.
+    words = items.agg(F.sum(F.length("text") / 2 + 1)).first()[0] or 0
+    found = _searched(spark, documents, items) if words <= block else _joined(spark, documents, items)
+    return found.groupBy("doc_id", "item_id").agg(F.max("words").alias("words"), F.max("coverage").alias("coverage"))
 
 
-def _search(spark, documents: DataFrame, seeds: dict) -> DataFrame:
-    shared = spark.sparkContext.broadcast(seeds)
+def _rows(rows: list) -> pa.RecordBatch:
+    """Rows of FOUND. Arrow keeps ids whole where some are null."""
+    kinds = {"doc_id": pa.int64(), "item_id": pa.int64(), "words": pa.int32(), "coverage": pa.float64()}
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds.values())], names=list(kinds))
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _searched(spark, documents: DataFrame, items: DataFrame) -> DataFrame:
+    """Items in a broadcast: they hold BLOCK words at most."""
+    shared = spark.sparkContext.broadcast(seed_table([(r.item_id, r.text) for r in items.collect()]))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         searcher = Searcher(shared.value)
         for batch in batches:
-            rows = [(d, i, n, n / size) for d, text in zip(batch["doc_id"], batch["text"], strict=True) for i, n, size in searcher.look(text)]
-            found = pd.DataFrame(rows, columns=["doc_id", "item_id", "words", "coverage"])
-            yield found.assign(item_id=pd.array([r[1] for r in rows], dtype="Int64"))
+            yield _rows([(d, i, n, n / size) for d, text in zip(*(c.to_pylist() for c in batch.columns), strict=True) for i, n, size in searcher.look(text)])
+
+    return spread(documents).mapInArrow(each, FOUND)
+
+
+def _seeds(texts: DataFrame, bits: np.ndarray | None = None) -> DataFrame:
+    """key, seed of every kept seed of every text (key, text); ``bits``: a broadcast filter of the seeds worth having."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        reader = Words()
+        mask = None if bits is None else bits.value
+        for batch in batches:
+            keys, seeds = [], []
+            for key, text in zip(batch["key"], batch["text"], strict=True):
+                h = kept_seeds(reader.read(text)[1])
+                if mask is not None and len(h):
+                    at = h % np.uint64(FILTER_BITS)
+                    h = h[(mask[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1]
+                keys += [key] * len(h)
+                seeds.append(h)
+            yield pd.DataFrame({"key": pd.Series(keys, dtype="int64"), "seed": (np.concatenate(seeds) if seeds else np.empty(0, dtype=np.uint64)).view(np.int64)})
+
+    return spread(texts).mapInPandas(each, "key long, seed long")
+
+
+def _filter(spark, seeds: DataFrame):
+    """A broadcast bit field of FILTER_BITS bits with one set for every seed; the driver gets the distinct places in chunks of bits."""
+    place = F.pmod("seed", F.lit(FILTER_BITS))  # a power of two: the low bits, whatever the sign
+    chunks = seeds.select(place.alias("p")).groupBy((F.col("p") / 32768).cast("long").alias("chunk")).agg(F.bitmap_construct_agg(F.col("p") % 32768).alias("bits"))
+    field = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
+    for r in chunks.toLocalIterator():  # 4,096 chunks of 4 kB at most
+        field[r.chunk * 4096 : r.chunk * 4096 + 4096] = np.frombuffer(bytes(r.bits), dtype=np.uint8)
+    return spark.sparkContext.broadcast(field)
+
+
+def _joined(spark, documents: DataFrame, items: DataFrame) -> DataFrame:
+    """Items of any number: documents and items meet in a shuffle on their kept seeds, then the pairs get their texts.
+
+    Rows are told apart by a hash of id and text, so that of equal rows one is tiled. The texts of an item that very many
+    documents hold are dealt out SALTS times; documents are read again only where they met an item."""
+    own = lambda d, i: d.filter("text IS NOT NULL").select(F.col(i), "text", F.xxhash64(i, "text").alias("key"))
+    items, documents = own(items, "item_id"), own(documents, "doc_id")
+    item_seeds = cut(_seeds(items.select("key", "text")))
+    doc_seeds = _seeds(documents.select("key", "text"), _filter(spark, item_seeds))
+    # A seed that stands in very many documents is dealt out too: each of its rows goes to one part, items to every part.
+    part = F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")
+    wide = item_seeds.select(F.col("key").alias("item_key"), "seed").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    pairs = doc_seeds.distinct().withColumn("part", part).join(wide, ["seed", "part"]).select(F.col("key").alias("doc_key"), "item_key").distinct()
+    pairs = cut(pairs)
+    texts = pairs.join(documents.select(F.col("key").alias("doc_key"), "doc_id", "text").dropDuplicates(["doc_key"]), "doc_key").withColumn("part", F.pmod("doc_key", F.lit(SALTS)).cast("int"))
+    known = items.select(F.col("key").alias("item_key"), "item_id", F.col("text").alias("item")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = re.compile(WORD).findall
+        for batch in batches:
+            rows = []
+            for d, i, text, item in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words = find(item.lower())
+                if n := sum(t[2] for t in tiles(find(text.lower()), words)):
+                    rows.append((d, i, n, n / len(words)))
+            yield _rows(rows)
 
-    return spread(documents.select("doc_id", "text")).mapInPandas(each, "doc_id long, item_id long, words int, coverage double")
+    return texts.join(known, ["item_key", "part"]).select("doc_id", "item_id", "text", "item").mapInArrow(each, FOUND)
 
 
 def p9_found(spark, sf_dir: str) -> DataFrame:
-    """doc_id, item_id of every document that holds LEAST consecutive words of an item. Null and short texts hold none."""
+    """doc_id, item_id of every document that has a tile of LEAST words or more with an item."""
     return leaks(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "item_id")
 
 
+def p9_covered(spark, sf_dir: str) -> DataFrame:
+    """doc_id, item_id, words and coverage of the documents that hold at least the share COVERED of an item in tiles, in
+    whatever order its passages stand there."""
+    found = leaks(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).filter(F.col("coverage") >= COVERED)
+    return found.select("doc_id", "item_id", "words", F.round("coverage", 4).alias("coverage"))
+
+
 def p9_report(spark, sf_dir: str) -> DataFrame:
     """item_id, documents that leak it, and the largest share of it that one of them holds."""
     found = leaks(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
