@@ -1,10 +1,13 @@
 """Visually identical text with different characters, brought to one form.
 
-Every token's script is resolved by intersecting the script sets of its letters, where a look-alike letter belongs to the
-script it is taken from and to Latin. A token whose own scripts have no common member but whose look-alike sets meet in
-Latin is mixed-script confusable; one that is wholly of look-alikes is whole-script confusable if the text around it is
-Latin. Such tokens get the Latin spelling; full-width forms, separate accents, zero-width signs and odd blanks are
-normalized after that. Texts garbled by a wrong decoding are left alone.
+Every letter has a set of scripts: its own, widened as writing systems mix them (Han, Kana and Hangul), and those in which a
+letter looks like it. The own sets of a token's letters are intersected; where nothing is left, the token is of mixed
+scripts, and the intersection of the widened sets names the scripts in which all of it could be written. The token gets the
+spelling of one of them: Latin in Latin text, else the script of the words around it, else that of most of its letters. A
+token of one script that is wholly of look-alikes is whole-script confusable where the text around it is Latin. Full-width
+forms, separate accents, zero-width signs and odd blanks are normalized after that, and so are styled letters, ligatures and
+phonetic letters, whose plain forms come from Unicode's own decompositions and names. Texts garbled by a wrong decoding are
+left alone.
 """
 
 from __future__ import annotations
@@ -46,6 +49,29 @@ def script(c: str) -> str | None:
     return {"KELVIN": LATIN, "ANGSTROM": LATIN, "CJK": "Han"}.get(word, word.capitalize())
 
 
+#: Writing systems that take letters of several scripts.
+SYSTEMS = {"Han": {"Han", "Japanese", "Korean", "Bopomofo"}, "Hiragana": {"Hiragana", "Katakana", "Japanese"}, "Katakana": {"Hiragana", "Katakana", "Japanese"}, "Katakana-hiragana": {"Hiragana", "Katakana", "Japanese"},
+           "Hangul": {"Hangul", "Korean"}, "Bopomofo": {"Bopomofo"}}
+#: Kinds that make a text a case of p2_found; ``style`` and ``other-letter`` are normalized as well.
+CASES = ("width", "accent", "zero-width", "blank", "letter")
+
+
+def styled() -> dict[str, str]:
+    """Letters that are plain ones in another style, and what they are, by rule: font variants and ligatures by their
+    decomposition, small capitals, script letters and alpha of the phonetic alphabet by their names."""
+    out = {}
+    for n in [*range(0x0250, 0x02B0), *range(0x1D00, 0x1D80), *range(0x2100, 0x2150), *range(0xFB00, 0xFB07), *range(0x1D400, 0x1D800)]:
+        c = chr(n)
+        name, kind = unicodedata.name(c, ""), unicodedata.decomposition(c)
+        if m := re.fullmatch(r"LATIN (?:LETTER SMALL CAPITAL|SMALL LETTER SCRIPT) ([A-Z])|LATIN SMALL LETTER (A)LPHA", name):
+            out[c] = (m[1] or m[2]).lower()
+        elif kind.startswith("<font>") or kind.startswith("<compat>") and "LIGATURE" in name:
+            plain = unicodedata.normalize("NFKC", c)
+            if plain.isalnum():
+                out[c] = plain
+    return out
+
+
 class Spelling:
     """Finds and normalizes the forms; remembers nothing between texts but tables."""
 
@@ -56,7 +82,15 @@ class Spelling:
         self.wide = re.compile("[！-～￠-￦]")
         self.mark = re.compile("[\u0300-\u036f\u0653-\u0655\u3099\u309a\u1ab0-\u1aff]")
         self.kelvin = re.compile("[\u212a\u212b]")
-        self.foreign = re.compile("[" + "".join(self.latin) + "]")
+        self.foreign = re.compile("[\u0370-\u03ff\u0400-\u052f\u0530-\u058f\u13a0-\u13fd]")
+        #: Latin letter -> script -> the first letter of that script that looks like it.
+        self.like: dict[str, dict[str, str]] = {}
+        for name, (here, there) in LOOKALIKES.items():
+            for c, x in zip(here, there, strict=True):
+                self.like.setdefault(x, {LATIN: x}).setdefault(name, c)
+        self.style = styled()
+        self.styles = re.compile("[" + "".join(map(re.escape, self.style)) + "]")
+        self.known: dict[str, tuple[frozenset, frozenset]] = {}
 
     def zero_width(self, text: str) -> list[int]:
         """Places of zero-width signs that are no joiner of an emoji or of a script that joins."""
@@ -71,34 +105,55 @@ class Spelling:
             out.append(i)
         return out
 
-    def borrowed(self, text: str) -> list[tuple[int, int, str]]:
-        """(start, end, Latin spelling) of the tokens with letters borrowed from another script."""
+    def scripts(self, c: str) -> tuple[frozenset, frozenset]:
+        """(own scripts, those and the scripts in which a letter looks like it); both empty for what is no letter."""
+        if c not in self.known:
+            own = script(c)
+            mine = frozenset(SYSTEMS.get(own, {own}) if own else ())
+            self.known[c] = mine, mine | frozenset(self.like.get(self.latin.get(c, c), ())) if mine else mine
+        return self.known[c]
+
+    def spelled(self, token: str, target: str) -> str:
+        """A token in the letters of one script, as far as they differ from it."""
+        return "".join(c if not (x := self.scripts(c))[0] or target in x[0] else self.like.get(self.latin.get(c, c), {}).get(target, c) for c in token)
+
+    def borrowed(self, text: str) -> list[tuple[int, int, str, str]]:
+        """(start, end, spelling, script) of the tokens with letters borrowed from another script."""
         if not self.foreign.search(text):
             return []
         tokens, own, anchors = [], set(), set()
         for m in self.token.finditer(text):
-            sets = [(c, s) for c in unicodedata.normalize("NFKC", m[0]) if (s := script(c))]
-            scripts = {s for _, s in sets}
-            if LATIN in scripts:
+            letters = [c for c in unicodedata.normalize("NFKC", m[0]) if self.scripts(c)[0]]
+            if not letters:
+                continue
+            sets = [self.scripts(c) for c in letters]
+            single, could = frozenset.intersection(*(x for x, _ in sets)), frozenset.intersection(*(x for _, x in sets))
+            if any(LATIN in x for x, _ in sets):
                 own.add(LATIN)
-            # The intersection of resolved sets: what is left when each look-alike may also count as Latin.
-            could_be_latin = all(s == LATIN or c in self.latin for c, s in sets)
-            if not could_be_latin:
-                anchors |= {s for c, s in sets if s != LATIN and c not in self.latin}
-            tokens.append((m, scripts, could_be_latin, any(c.isdigit() for c in m[0])))
+            if LATIN not in could:  # letters that are of one script alone anchor the text in it
+                anchors |= {s for c in letters if self.latin.get(c, c) not in self.like for s in self.scripts(c)[0] if s != LATIN}
+            tokens.append((m, sets, single, could))
         out = []
-        for m, scripts, could_be_latin, digits in tokens:
-            if not could_be_latin or not scripts - {LATIN}:
+        for m, sets, single, could in tokens:
+            if LATIN in single or not could:
                 continue
-            mixed = LATIN in scripts
-            bare = m[0].strip(ZERO)
-            whole = not mixed and not (scripts & anchors) and (LATIN in own or digits) and bare not in SYMBOLS
-            if mixed or whole:
-                out.append((m.start(), m.end(), "".join(self.latin.get(c, c) for c in m[0])))
+            if not single:
+                count = {s: sum(s in x for x, _ in sets) for s in could}
+                around = [s for s in sorted(could - {LATIN}) if s in anchors]
+                target = LATIN if LATIN in could and not (around and count[around[0]] > count[LATIN] and self.alone(tokens, m)) else (around or sorted(could, key=lambda s: (-count[s], s)))[0]
+                out.append((m.start(), m.end(), self.spelled(m[0], target), target))
+            elif LATIN in could and not (single & anchors) and (LATIN in own or any(c.isdigit() for c in m[0])) and m[0].strip(ZERO) not in SYMBOLS:
+                out.append((m.start(), m.end(), self.spelled(m[0], LATIN), LATIN))
         return out
 
+    @staticmethod
+    def alone(tokens: list, m: re.Match) -> bool:
+        """Whether no other token of the text is wholly Latin."""
+        return not any(LATIN in single for other, _, single, _ in tokens if other is not m)
+
     def kinds(self, text: str) -> list[str]:
-        """Which odd forms a text holds: width, accent, zero-width, blank, letter."""
+        """Which odd forms a text holds: width, accent, zero-width, blank, letter (borrowed in Latin text), other-letter
+        (borrowed in text of another script), style."""
         out = []
         if self.wide.search(text):
             signs = self.wide.findall(text)
@@ -114,16 +169,23 @@ class Spelling:
                 out.append("blank")
             if self.zero_width(text):
                 out.append("zero-width")
-        if self.kelvin.search(text) or self.borrowed(text):
+        targets = {t for *_, t in self.borrowed(text)}
+        if self.kelvin.search(text) or LATIN in targets:
             out.append("letter")
+        if targets - {LATIN}:
+            out.append("other-letter")
+        if self.styles.search(text):
+            out.append("style")
         return out
 
     def plain(self, text: str) -> str:
-        """The one form of a text: borrowed letters in Latin, plain widths and blanks, composed accents, no zero width."""
+        """The one form of a text: letters of one script a word, plain styles, widths and blanks, composed accents, no zero width."""
         kinds = self.kinds(text)
-        if "letter" in kinds:
-            for start, end, new in reversed(self.borrowed(text)):
+        if "letter" in kinds or "other-letter" in kinds:
+            for start, end, new, _ in reversed(self.borrowed(text)):
                 text = text[:start] + new + text[end:]
+        if "style" in kinds:
+            text = self.styles.sub(lambda m: self.style[m[0]], text)
         if "width" in kinds:
             text = self.wide.sub(lambda m: unicodedata.normalize("NFKC", m[0]), text)
         if "zero-width" in kinds:
@@ -163,7 +225,7 @@ def _spelled(spark, sf_dir: str) -> DataFrame:
 
 def p2_found(spark, sf_dir: str) -> DataFrame:
     """outcome_id, col of every text with a form that looks like another. Null, empty and ASCII texts are no cases."""
-    return _spelled(spark, sf_dir).filter(F.size("s.kinds") > 0).select("outcome_id", "col")
+    return _spelled(spark, sf_dir).filter(F.arrays_overlap("s.kinds", F.array(*[F.lit(k) for k in CASES]))).select("outcome_id", "col")
 
 
 def p2_normalized(spark, sf_dir: str) -> DataFrame:
