@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 
 from pagewright.sources.tables import table
 
-#: Rows of a table whose texts, garbled on purpose, train the classifier: the only sample in this module, and a bound.
-TRAIN_ROWS = 3000
+#: Lines of a table that, garbled on purpose, train the classifier, and the most signs that such a line has: the only sample
+#: in this module, and its bound.
+TRAIN_ROWS, TRAIN_SIGNS = 3000, 2000
 BUCKETS = 1 << 13
 #: Chain name -> steps; a step (right, wrong) means bytes of ``right`` were read as ``wrong``, in that order.
 CHAINS = {
@@ -42,7 +43,7 @@ CHAINS = {
 CLEAN = "clean"
 #: Signs that a single-byte chain may have hidden; a word never holds a hidden blank or currency letter.
 SIGNS = "–—‘’“”„…€£½¼¾²³°™©®«»¿¡·×§"
-CODE = r"(?is)<(code|pre|samp|kbd|tt)\b[^>]*>.*?</\1\s*>|`[^`\n]{1,200}`"
+CODE = r"(?is)<(code|pre|samp|kbd|tt)\b[^>]*>.*?</\1\s*>|`[^`\n]+`"
 TOKEN = r"[^\x00-\x20<>\"()\[\]{},;/|=]*[^\x00-\x7f][^\x00-\x20<>\"()\[\]{},;/|=]*"
 RUN = r"[^\x00-\x7f]+"
 #: Letters of scripts without blanks between words, and with them their punctuation and full-width forms. No
@@ -127,6 +128,20 @@ def stretches(token: str) -> list[tuple[int, str]]:
     return out
 
 
+def strange(token: str) -> bool:
+    """Whether a token has a sign that no word has there: a capital beyond ASCII after a small letter, or a symbol between two
+    letters. Words do not; many garbled ones do."""
+    for i in range(1, len(token)):
+        a, b = token[i - 1], token[i]
+        if b > "\x7f" and a.isalpha():
+            if b.isupper():
+                if a.islower():
+                    return True
+            elif not b.isalnum() and b not in "’‘‐‑–·" and unicodedata.category(b)[0] not in "MCZ" and i + 1 < len(token) and token[i + 1].isalpha():
+                return True
+    return False
+
+
 def features(token: str) -> np.ndarray:
     """Hashed byte bigrams of a token in UTF-8, with its ends: once as it stands, once with plain letters by case only."""
     shape = re.sub("[a-z]+", "a", re.sub("[A-Z]+", "A", re.sub("[0-9]+", "0", token)))
@@ -142,7 +157,9 @@ def train(texts: list[str]) -> dict:
     """Log probabilities by class and bucket from a bounded sample of texts, each garbled by every chain."""
     tokens: Counter = Counter()
     for text in texts:
-        tokens.update(re.findall(TOKEN, html.unescape(text)))
+        found = re.findall(TOKEN, html.unescape(text))
+        if not any(map(strange, found)):  # lines that are garbled themselves teach nothing
+            tokens.update(found)
     clean = {t: math.log1p(n) for t, n in tokens.items() if "�" not in t and not re.search("[\x80-\x9f]", t) and not any(invert(t, c) for c in CHAINS if CHAINS[c][0][0] == "utf-8")}
     names = [CLEAN, *CHAINS]
     counts = np.full((len(names), BUCKETS), 0.02)
@@ -151,7 +168,8 @@ def train(texts: list[str]) -> dict:
             made = t if k == 0 else garble(t, name)
             if made is not None and (k == 0 or made != t):
                 for token in re.findall(TOKEN, made):
-                    np.add.at(counts[k], features(token), n)
+                    for _, part in stretches(token):
+                        np.add.at(counts[k], features(part), n)
     return {"names": names, "logp": np.log(counts / counts.sum(axis=1, keepdims=True)).astype("float32")}
 
 
@@ -160,6 +178,9 @@ class Repairer:
 
     #: Log odds before looking: most tokens are clean; valid UTF-8 inside a token is strong evidence of its own.
     PRIOR, SINGLE, STRICT, KEEP = -4.0, -8.0, 7.0, 100_000
+    #: Log odds for a chain that turns a strange word into a usual one, and against one that does the opposite, or that makes
+    #: a letter of a sign that stands alone.
+    CASE = 6.0
     #: Log odds of one token that outweigh its neighbours: a sign that no right text has.
     PLAIN = 16.0
 
@@ -185,7 +206,15 @@ class Repairer:
             if (text := invert(token, chain)) is not None:
                 best = chain, text
                 break
-        out = best, odds[self.single]
+        single = odds[self.single]
+        if best is None and not token.isascii():
+            before, alone = strange(token), len(token) == 1 and token in SIGNS
+            for n, k in enumerate(self.single):
+                if alone:
+                    single[n] -= self.CASE
+                elif (before or single[n] > 0) and (text := invert(token, self.model["names"][k])) is not None and before != strange(text):
+                    single[n] += self.CASE if before else -self.CASE
+        out = best, single
         if len(self.seen) < self.KEEP:
             self.seen[token] = out
         return out
@@ -239,17 +268,20 @@ class Repairer:
         return True, chains.most_common(1)[0][0] if chains else "lost", None if lost else out
 
 
-def fit(texts: DataFrame) -> dict:
-    """Train on at most TRAIN_ROWS of the texts, the same ones every time. ``texts``: one string column named text.
+def fit(*tables: DataFrame) -> dict:
+    """Train on at most TRAIN_ROWS lines or elements of each table, the same ones every time. ``tables``: one string column
+    named text. Lines of over TRAIN_SIGNS signs are not drawn; none is cut.
 
-    The sample is the rows of smallest hash; of a large table only every so-manieth hash is sent on, so that what
+    The sample is the lines of smallest hash; of a large table only every so-manieth row by hash is looked at, so that what
     reaches the driver does not grow with the table.
     """
-    step = max(1, texts.count() // (20 * TRAIN_ROWS))
-    texts = texts.filter(F.pmod(F.xxhash64("text"), F.lit(step)) == 0)
-    rare = texts.filter(F.rlike("text", F.lit(r"[^\x00-\x7f]"))).select(F.substring("text", 1, 2000).alias("text"))
-    rows = rare.withColumn("h", F.xxhash64("text")).orderBy("h", "text").limit(TRAIN_ROWS).collect()
-    return train([r.text for r in rows])
+    found = []
+    for texts in tables:
+        step = max(1, texts.count() // (20 * TRAIN_ROWS))
+        texts = texts.filter((F.pmod(F.xxhash64("text"), F.lit(step)) == 0) & F.rlike("text", F.lit(r"[^\x00-\x7f]")))
+        lines = texts.select(F.explode(F.split("text", r"[<>\n]+")).alias("text")).filter(F.rlike("text", F.lit(r"[^\x00-\x7f]")) & (F.length("text") <= TRAIN_SIGNS))
+        found += [r.text for r in lines.withColumn("h", F.xxhash64("text")).orderBy("h", "text").limit(TRAIN_ROWS).collect()]
+    return train(found)
 
 
 def repair_udf(spark, model: dict):
@@ -268,7 +300,7 @@ def repair_udf(spark, model: dict):
 def _suspects(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Texts of outcomes and pages with a sign beyond ASCII or an entity, repaired; and the model's training texts."""
     outcomes, pages = table(spark, sf_dir, "outcomes"), table(spark, sf_dir, "pages")
-    model = fit(outcomes.select(F.col("raw_text").alias("text")))
+    model = fit(outcomes.select(F.col("raw_text").alias("text")), pages.select(F.col("cleaned_html").alias("text")))
     some = lambda c: F.rlike(c, F.lit(r"[^\x00-\x7f]|&[A-Za-z]+;|&#"))
     texts = (
         outcomes.filter(some("raw_text")).select(F.lit("outcomes").alias("tbl"), F.col("outcome_id").cast("long").alias("item_id"), F.col("raw_text").alias("text"))

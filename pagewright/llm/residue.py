@@ -23,12 +23,12 @@ from pagewright.sources.tables import table
 DENSITY = 0.5
 
 # The grammar of a slot's name, and of each kind of slot.
-NAME = r"[A-Za-z_][\w.\-]{0,60}"
-INNER = rf"\s{{0,3}}[#/^&>!-]?\s?{NAME}(?:\(\))?(?:\s?\|\s?[\w:'\", ]{{1,40}})?\s{{0,3}}"
+NAME = r"[A-Za-z_][\w.\-]*"
+INNER = rf"\s{{0,3}}[#/^&>!-]?\s?{NAME}(?:\(\))?(?:\s?\|\s?[\w:'\", ]+)?\s{{0,3}}"
 SLOTS = [
     rf"\{{\{{\{{{INNER}\}}\}}\}}",
     rf"\{{\{{{INNER}\}}\}}",
-    rf"\{{%-?{INNER}(?:\s[\w.'\" =]{{1,60}})?-?%\}}",
+    rf"\{{%-?{INNER}(?:\s[\w.'\" =]+)?-?%\}}",
     rf"<%[=\-]?{INNER}[-]?%>",
     rf"\$\{{{INNER}\}}",
     rf"#\{{{INNER}\}}",
@@ -37,7 +37,7 @@ SLOTS = [
     rf"\*\|{NAME}\|\*",
     rf"<<{NAME}>>",
     rf"%\({NAME}\)[sd]",
-    r"%(?!20|[0-9A-Fa-f][0-9]|[0-9][A-Fa-f])[A-Za-z_][\w.\-]{2,60}%(?![0-9])",
+    r"%(?!20|[0-9A-Fa-f][0-9]|[0-9][A-Fa-f])[A-Za-z_][\w.\-]{2,}%(?![0-9])",
     r"(?<![\w/])__[A-Za-z][A-Za-z0-9.]*(?:_[A-Za-z0-9.]+)*__(?!\w)",
     rf"(?<![\w{{$#\\]){{{NAME}}}(?![\w}}])",
     r"(?<![\w{$#\\])\{\d\}(?![\w}])",
@@ -61,7 +61,8 @@ FILLER = [
     r"votre (?:texte|titre|description|contenu)(?: ici)?", r"(?:texte|titre|contenu) (?:ici|à venir|de remplissage)", r"(?:insérez|saisissez|entrez) (?:ici )?(?:votre|le|un) \w+(?: ici)?",
     r"(?:escriba|inserte|introduzca|ponga|escribe) aquí (?:su|el|la|tu|un|una) \w+", r"su (?:texto|título) aquí|(?:texto|título|descripción) (?:de ejemplo|de relleno|aquí)",
     r"(?:sample|dummy|placeholder|filler|example) (?:text|copy|content|title)(?:\s?[–—:,-]\s?(?:please )?(?:replace|change|delete|remove) (?:me|this))?", r"placeholder|untitled(?: (?:document|page|post))?(?: \(?copy\)?(?: \d+)?)?|new (?:page|post) \(?copy\)?",
-    r"(?:todo|tbd|fixme)\b[:\s]?.{0,80}", r"(?:undefined|null|nan|none|nil)(?:[\s,]+(?:undefined|null|nan|none|nil)){0,5}", r"\[object \w+\](?:,\s?\[object \w+\])*", r"(?:asdf|qwer|qwerty|jkl|foo|bar|baz)(?:[\s,]*(?:asdf|qwer|qwerty|jkl|foo|bar|baz|ty))*",
+    r"(?:add|insert|enter|write|put|type|paste|supply|provide) (?:your |the |a |an |some )?(?:\w+ )?(?:copy|text|content|title|headline|name|description|price|image|summary|body|blurb)(?: (?:here|later|soon))?",
+    r"(?:todo|tbd|fixme)\b[^.!?…\n]*", r"(?:undefined|null|nan|none|nil)(?:[\s,]+(?:undefined|null|nan|none|nil)){0,5}", r"\[object \w+\](?:,\s?\[object \w+\])*", r"(?:asdf|qwer|qwerty|jkl|foo|bar|baz)(?:[\s,]*(?:asdf|qwer|qwerty|jkl|foo|bar|baz|ty))*",
     r"abc(?: def)(?: ghi)?(?: jkl)?", r"(?:test|x{2,}|bla+h?|dummy)(?:[\s,]+(?:test|x{2,}|bla+h?|dummy|copy|text|\d+))*", r"(?:text)(?:[\s,]+text)+", r"dummy (?:copy|text)(?:[\s,]+dummy (?:copy|text))*",
 ]
 # How error messages begin, by language.
@@ -69,7 +70,7 @@ ERRORS = [
     r"(?:http )?(?:error |status )?[45]\d\d\s?(?:error\b|[–—:|-]\s(?!\d)|(?:page )?not found|forbidden|unauthorized|bad gateway|service|internal|gateway|access|too many|we )", r"error [45]\d\d\s?[:–—.-]", r"error [45]\d\d$",
     r"(?:oops|uh[- ]oh|whoops|sorry)\W{1,3}(?:something|an? |we |the |this |that )", r"something went wrong", r"an (?:unexpected |internal |unknown )?error (?:has )?occurred", r"(?:internal|unexpected) (?:server )?error\b", r"bad gateway|gateway time-?out|request time(?:d )?-?out",
     r"(?:this |the )?(?:page|file|document|resource|item|product)s? (?:was |could |can|is )?not (?:be )?found", r"(?:we )?(?:could not|couldn't|cannot|can't) find (?:that|the|this) (?:page|file|document)", r"(?:this |our |the )?(?:site|website|service|server|page) is (?:currently |temporarily |now )?(?:down|unavailable|offline|under (?:planned )?maintenance)", r"(?:service|site|page) (?:is )?(?:temporarily |currently )?unavailable",
-    r"(?:your )?session (?:has )?(?:expired|timed out)", r"too many requests", r"(?:access|permission) (?:is |was )?(?:denied|forbidden)", r"you do(?: not|n't) have permission", r"(?:connection|connecting) to (?:the )?(?:database|server|host|upstream).{0,20}(?:failed|refused|lost|timed out)", r"(?:fatal|database|parse|syntax) error\b\s?[:(-]", r"(?:checking|verifying) (?:that|if|whether) you are (?:not a robot|human|a human)", r"(?:please )?(?:complete|solve) the (?:captcha|security check)",
+    r"(?:your )?session (?:has )?(?:expired|timed out)", r"too many requests", r"(?:access|permission) (?:is |was )?(?:denied|forbidden)", r"you do(?: not|n't) have permission", r"(?:connection|connecting) to (?:the )?(?:database|server|host|upstream)[^.!?…\n]*?(?:failed|refused|lost|timed out)", r"(?:fatal|database|parse|syntax) error\b\s?[:(-]", r"(?:checking|verifying) (?:that|if|whether) you are (?:not a robot|human|a human)", r"(?:please )?(?:complete|solve) the (?:captcha|security check)",
     r"erreur(?: \d{3})?\s?:", r"erreur (?:interne|\d{3}|de (?:serveur|base|connexion))", r"(?:cette )?page (?:introuvable|non trouvée|n'existe pas)", r"(?:le )?service (?:est )?(?:momentanément|temporairement|actuellement)? ?indisponible", r"accès (?:refusé|interdit)", r"votre session a expiré", r"trop de requêtes",
     r"(?:die )?(?:angeforderte )?seite (?:wurde )?nicht gefunden", r"(?:der )?(?:dienst|server|seite) (?:ist )?(?:zurzeit|derzeit|vorübergehend|momentan) nicht (?:verfügbar|erreichbar)", r"zugriff (?:wurde )?verweigert", r"(?:interner )?serverfehler|fehler [45]\d\d|ein fehler ist aufgetreten", r"ihre sitzung ist abgelaufen", r"zu viele anfragen",
     r"(?:la )?página (?:solicitada )?no (?:encontrada|existe|se encuentra|fue encontrada|se ha encontrado)", r"error (?:interno|del servidor)", r"(?:el )?servicio (?:está )?(?:temporalmente |momentáneamente )?no disponible", r"acceso (?:denegado|prohibido)", r"(?:su|la) sesión ha (?:caducado|expirado)", r"demasiadas solicitudes",
@@ -77,11 +78,13 @@ ERRORS = [
 # How notices that scripts are required begin, by language.
 NOTICES = [
     r"(?:please |you (?:need|have|must) (?:to )?|to (?:continue|use this (?:site|app|page)),? (?:please )?)(?:enable|activate|turn on|allow|switch on) (?:java)?scripts?", r"enable (?:java)?scripts? (?:to|and reload|in your browser)", r"javascript (?:is|has been|seems to be|must be|needs to be)? ?(?:disabled|required|turned off|switched off|not enabled|deactivated|enabled)",
-    r"(?:this |our |the )?(?:app|site|page|website|application) (?:does not|doesn't|will not|won't|cannot) (?:work|run|function|load)(?: \w+)? without (?:java)?scripts?", r"(?:this |our |the )?(?:app|site|page|website) (?:requires|needs) (?:java)?scripts?", r"loading\W{1,4}\s?if nothing happens", r"(?:your browser (?:does not|doesn't|cannot|can't) (?:support|run|execute|allow|load)|we're sorry but .{1,40} doesn't work without) (?:java)?scripts?",
+    r"(?:this |our |the )?(?:app|site|page|website|application) (?:does not|doesn't|will not|won't|cannot) (?:work|run|function|load)(?: \w+)? without (?:java)?scripts?", r"(?:this |our |the )?(?:app|site|page|website) (?:requires|needs) (?:java)?scripts?", r"loading\W{1,4}\s?if nothing happens", r"(?:your browser (?:does not|doesn't|cannot|can't) (?:support|run|execute|allow|load)|we're sorry but [^.!?…\n]+? doesn't work without) (?:java)?scripts?",
     r"(?:veuillez|merci d')\s?(?:activer|autoriser) (?:java)?scripts?", r"javascript (?:est|doit être) (?:désactivé|requis|nécessaire|activé)", r"activez javascript", r"(?:bitte )?(?:aktivieren|schalten|erlauben) sie (?:bitte )?(?:java)?s[ck]ripte?", r"javascript ist (?:deaktiviert|erforderlich|ausgeschaltet)|(?:diese seite|diese app) (?:benötigt|braucht|funktioniert nicht ohne) javascript",
     r"(?:por favor,? )?(?:active|habilite|activa|habilita) (?:java)?scripts?\b", r"javascript está (?:desactivado|deshabilitado)|(?:se requiere|necesita(?: activar| habilitar)?) javascript", r"(?:debe|necesita) (?:activar|habilitar) javascript",
 ]
-TAIL = r"\s*(?:\(?\b(?:ref|reference|incident|request|code|id|referenz|référence)\b\.?[^)]{0,60}\)?\.?\s*)?$"
+TAIL = r"\s*(?:\(?\b(?:ref|reference|incident|request|code|id|referenz|référence)\b\.?[^)]*\)?\.?\s*)?$"
+#: Signs that stand around filler.
+EDGES = " \t-–—*_~<>[](){}«»\"'“”#=+|/"
 CODE = r"(?is)<(script|style|template|svg|pre|code|samp|kbd|tt|textarea|xmp)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)"
 BLOCK = r"(?i)</?(?:p|div|h[1-6]|li|ul|ol|table|thead|tbody|tr|td|th|section|article|main|header|footer|nav|aside|figure|figcaption|blockquote|dl|dt|dd|hr|br|noscript|form|title|body|html|option|select)\b[^>]*>"
 #: One message is short; a longer text is taken sentence by sentence, as what begins like a message may be about something.
@@ -136,7 +139,8 @@ class Residue:
                 return "notice"
             if self.error.match(text):
                 return "error"
-            if self.filler.fullmatch(self.tail.sub("", text)) and text.lower() != "none":
+            bare = self.tail.sub("", text)
+            if text.lower() != "none" and (self.filler.fullmatch(bare) or bare[:1] in EDGES and (bare := bare.strip(EDGES)) and self.filler.fullmatch(bare)):
                 return "filler"
         return None
 
