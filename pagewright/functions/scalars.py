@@ -112,7 +112,8 @@ def retry_after_ms(c: Column, now: Column) -> Column:
     """``Retry-After`` as seconds or as an HTTP date, never negative; null where it is neither."""
     date = F.try_to_timestamp(F.regexp_replace(c, "^[A-Z][a-z]{2}, ", ""), F.lit("d MMM yyyy HH:mm:ss 'GMT'"))
     seconds = F.when(F.rlike(c, F.lit(r"^\s*\d+(\.\d+)?\s*$")), F.trim(c).try_cast("double") * 1000)
-    return F.greatest(F.lit(0), F.coalesce(seconds, (F.unix_millis(date) - F.unix_millis(now)).cast("double"))).cast("long")
+    wait = F.coalesce(seconds, (F.unix_millis(date) - F.unix_millis(now)).cast("double"))
+    return F.when(wait.isNotNull(), F.greatest(F.lit(0.0), wait)).cast("long")
 
 
 def semver(c: Column) -> Column:

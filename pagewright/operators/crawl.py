@@ -14,27 +14,48 @@ DOC_PATHS = ["/docs", "/doc", "/documentation", "/api", "/api-docs", "/api-refer
 PRIORITY = {"sitemap": 0, "probe": 1, "nav": 2}
 
 
-def enqueue(candidates: DataFrame, entry: Column, scope: Column, max_depth: int, max_pages: int, per: list[str], seen: DataFrame | None = None) -> DataFrame:
+def enqueue(candidates: DataFrame, entry: Column, scope: Column, max_depth: int | Column, max_pages: int, per: list[str], seen: DataFrame | None = None) -> DataFrame:
     """Candidates (``url``, ``depth``, ``arrival``, and the columns ``per`` that tell crawls apart) with canonical_key and
-    reject_reason: malformed, out-of-scope, too-deep, duplicate, over-cap, or null for those that are accepted.
+    reject_reason: malformed, out-of-scope, past-max-depth, duplicate, past-max-pages, or null for those that are accepted.
 
-    Checks come in this order and the cap counts accepted URLs. The first of equal keys is a partial aggregate; the last
-    arrival under the cap comes from a top-k per crawl, which every task cuts to the cap before anything is shuffled. So no
-    hot crawl is gathered in one task.
+    Checks come in this order. Only what is accepted is seen: an address that the cap refused is refused for the cap again.
+    The cap counts what a crawl has accepted before (``seen``: ``per``, canonical_key) too. Candidates of equal arrival stand
+    in one row's place; arrivals must be distinct within a crawl. A crawl or key that is null is one of its own.
+
+    The candidates are written once with their keys. First arrivals are a partial aggregate; the last arrival under the cap
+    comes from a top-k per crawl that every task cuts to the cap before anything is shuffled, so no hot crawl is gathered.
     """
     d = candidates.withColumn("canonical_key", canonical(F.col("url"))).withColumn("entry_key", canonical(entry))
     d = d.withColumn("in_scope", keys_in_scope(F.col("canonical_key"), F.col("entry_key"), scope)).drop("entry_key")
-    early = F.when(F.col("canonical_key").isNull(), "malformed").when(~F.col("in_scope"), "out-of-scope").when(F.col("depth") > max_depth, "too-deep")
-    d = d.withColumn("early", early)
-    fresh = d.filter("early IS NULL")
+    early = F.when(F.col("canonical_key").isNull(), "malformed").when(~F.coalesce("in_scope", F.lit(False)), "out-of-scope").when(F.col("depth") > max_depth, "past-max-depth")
+    d = cut(d.withColumn("early", early).drop("in_scope"))
+    first = d.filter("early IS NULL").groupBy(*per, "canonical_key").agg(F.min("arrival").alias("first_arrival"))
+    room = F.lit(max_pages).cast("long")
+    if seen is not None:
+        seen = seen.select(*per, "canonical_key").distinct()
+        used = seen.groupBy(*per).agg(F.count(F.lit(1)).alias("used"))
+        known = seen.withColumn("known", F.lit(True))
+        first = null_safe(first, known, [*per, "canonical_key"]).withColumn("known", F.coalesce("known", F.lit(False)))
+        first = null_safe(first, used, per).withColumn("room", room - F.coalesce("used", F.lit(0))).drop("used")
+    else:
+        first = first.withColumn("known", F.lit(False)).withColumn("room", room)
+    kept = first.filter(~F.col("known")).withColumn("place", F.row_number().over(W.partitionBy(*per).orderBy("first_arrival"))).filter(F.col("place") <= max_pages)
+    kept = kept.filter(F.col("place") <= F.col("room"))
+    # Seen before, or accepted now: (key, the arrival that was accepted, none for what was seen before).
+    taken = kept.select(*per, "canonical_key", F.col("first_arrival").alias("accepted"))
     if seen is not None:
-        fresh = fresh.join(seen.select(*per, "canonical_key").distinct(), [*per, "canonical_key"], "left_anti")
-    first = fresh.groupBy(*per, "canonical_key").agg(F.min("arrival").alias("first_arrival"))
-    top = first.withColumn("place", F.row_number().over(W.partitionBy(*per).orderBy("first_arrival"))).filter(F.col("place") <= max_pages)
-    last = top.groupBy(*per).agg(F.max("first_arrival").alias("last_arrival"))
-    d = d.join(first, [*per, "canonical_key"], "left").join(last, per, "left")
-    late = F.when(F.col("early").isNotNull(), F.col("early")).when(F.col("first_arrival").isNull() | (F.col("first_arrival") != F.col("arrival")), "duplicate").when(F.col("first_arrival") > F.col("last_arrival"), "over-cap")
-    return d.withColumn("reject_reason", late).drop("early", "in_scope", "first_arrival", "last_arrival")
+        taken = taken.unionByName(first.filter("known").select(*per, "canonical_key", F.lit(None).cast(first.schema["first_arrival"].dataType).alias("accepted")))
+    d = null_safe(d, taken.withColumn("taken", F.lit(True)), [*per, "canonical_key"])
+    # A key is accepted at its first arrival or never, so every later arrival of an accepted one is a duplicate.
+    late = F.when(F.col("early").isNotNull(), F.col("early")).when(F.col("taken").isNull(), "past-max-pages").when(~F.col("arrival").eqNullSafe(F.col("accepted")), "duplicate")
+    return d.withColumn("reject_reason", late).drop("early", "accepted", "taken")
+
+
+def null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join on keys in which null equals null; the keys stand once in the result."""
+    right = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    on = [left[k].eqNullSafe(right[f"_r_{k}"]) for k in keys]
+    return left.join(right, on, "left").drop(*[f"_r_{k}" for k in keys])
 
 
 def crawl_levels(seeds: DataFrame, edges: DataFrame, max_depth: int) -> DataFrame:

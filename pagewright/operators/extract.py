@@ -7,7 +7,6 @@ that follows — transform, coerce, validate, ground, score, choose the first lo
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -74,15 +73,17 @@ def execute(pages: DataFrame, program: Program, html: str = "html", url: str = "
     """Outcomes of a program: a row per page, template, record and field with the first locator that passes, or with the
     last failure and all attempts."""
     raw = resolve(pages, program, html, url)
-    parts = []
+    # One pass for all templates: a row's template says which of the arrays of fields is worked out for it.
+    fields = None
     for t in program.templates:
         locs = list(dict.fromkeys(x for f in t.fields for x in f.locators))
-        fields = []
+        own = []
         for n, f in enumerate(t.fields):
             attempts = F.array(*[_attempt(F.col("texts")[locs.index(x)], f, rank, F.col("source_text")) for rank, x in enumerate(f.locators)])
-            fields.append(F.struct(F.lit(n).alias("field_ord"), F.lit(f.name).alias("field_name"), F.lit(f.type).alias("value_type"), F.lit(f.required).alias("required"), attempts.alias("attempts")))
-        parts.append(raw.filter(F.col("template_id") == t.id).select("page_id", "source_url", "template_id", "rec_idx", F.inline(F.array(*fields))))
-    out = reduce(DataFrame.unionByName, parts)
+            own.append(F.struct(F.lit(n).alias("field_ord"), F.lit(f.name).alias("field_name"), F.lit(f.type).alias("value_type"), F.lit(f.required).alias("required"), attempts.alias("attempts")))
+        mine = F.col("template_id") == t.id
+        fields = F.when(mine, F.array(*own)) if fields is None else fields.when(mine, F.array(*own))
+    out = raw.select("page_id", "source_url", "template_id", "rec_idx", F.inline(fields))
     passed = F.filter("attempts", lambda a: a["result"] == "ok")
     first = F.when(F.size(passed) > 0, passed[0])
     out = out.withColumn("first", first).withColumn("ok", F.col("first").isNotNull())
@@ -127,6 +128,12 @@ def page_links(pages: DataFrame, html: str = "html") -> DataFrame:
     return spread(pages.select("page_id", "url", F.col(html).alias("html"))).mapInPandas(each, "page_id long, pos int, url string, text string, region string")
 
 
+def distinct_links(links: DataFrame) -> DataFrame:
+    """page_id, pos, url, text, region of each link of a page once, where it stands first."""
+    first = links.groupBy("page_id", "url").agg(F.min_by(F.struct("pos", "text", "region"), "pos").alias("f"))
+    return first.select("page_id", "f.pos", "url", "f.text", "f.region")
+
+
 def page_regions(pages: DataFrame, html: str = "html") -> DataFrame:
     """page_id, pos, shape, html of the top elements of every page."""
 

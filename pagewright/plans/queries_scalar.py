@@ -135,8 +135,9 @@ column("event_id", "events", {"shown": lambda: S.display_duration((raw("event_id
 }, name="ref_F27_display_duration")
 column("doc_id", "documents", {"short": lambda: S.shorten(raw("title"), 20)}, {"short": "case when length(title) > 20 then substring(title, 1, 19) || '…' else title end"}, name="ref_F28_O9_shorten")
 column("doc_id", "documents", {"escaped": lambda: S.escape_html(raw("text"))}, {"escaped": "replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')"}, name="ref_F29_escape_html")
-column("event_id", "events", {"wait": lambda: S.retry_after_ms(F.when(raw("event_id") % 3 == 0, F.lit("soon")).otherwise(F.concat((raw("event_id") % 90).cast("string"), F.lit(".5"))), F.lit("2025-01-01").cast("timestamp"))}, {
-    "wait": "case when event_id % 3 = 0 then 0 else cast((event_id % 90) * 1000 + 500 as bigint) end",
+_retry = lambda: F.when(raw("event_id") % 4 == 0, F.lit("soon")).when(raw("event_id") % 4 == 1, F.concat(F.date_format(raw("ts"), "EEE, d MMM yyyy HH:mm:ss"), F.lit(" GMT"))).otherwise(F.concat((raw("event_id") % 90).cast("string"), F.lit(".5")))
+column("event_id", "events", {"wait": lambda: S.retry_after_ms(_retry(), F.lit("2024-01-01").cast("timestamp"))}, {
+    "wait": "case event_id % 4 when 0 then null when 1 then greatest(0, epoch_ms(date_trunc('second', ts)) - epoch_ms(timestamp '2024-01-01')) else (event_id % 90) * 1000 + 500 end",
 }, name="ref_F30_retry_after")
 column("event_id", "events", {"wait": lambda: S.backoff_ms(raw("event_id") % 9 + 1, 250, 4000)}, {"wait": "cast(least(4000.0, 250 * pow(2.0, event_id % 9)) as bigint)"}, name="ref_S2_F31_backoff")
 

@@ -366,16 +366,34 @@ def _(spark, d):
 
 @R.query("ref_G2_enqueue", f"""with c as (select e.record_id, r.job_id, e.page_url as url, e.record_index as depth, {sql_canonical('e.page_url')} as key, {sql_origin('e.page_url')} = {sql_origin('j.starting_url')} as inside
    from extracted_record e join crawl_run r on e.run_id = r.run_id join crawl_job j on r.job_id = j.job_id),
- k as (select *, case when key is null then 'malformed' when not inside then 'out-of-scope' when depth > 3 then 'too-deep' end as early from c),
+ k as (select *, case when key is null then 'malformed' when not inside then 'out-of-scope' when depth > 3 then 'past-max-depth' end as early from c),
  f as (select job_id, key, min(record_id) as first_id from k where early is null group by 1, 2),
  p as (select *, row_number() over (partition by job_id order by first_id) as place from f)
- select k.record_id, case when early is not null then early when p.first_id is distinct from k.record_id then 'duplicate' when p.place > 50 then 'over-cap' end as reject_reason from k left join p on k.job_id = p.job_id and k.key = p.key""")
+ select k.record_id, case when early is not null then early when p.place > 50 then 'past-max-pages' when p.first_id <> k.record_id then 'duplicate' end as reject_reason from k left join p on k.job_id = p.job_id and k.key = p.key""")
 def _(spark, d):
-    """Every address that the records name, offered to the frontier of its job."""
+    """Every address that the records name, offered to the frontier of its job; what the cap refused, it refuses again."""
+    return offered(spark, d)
+
+
+def offered(spark, d, seen=None):
     runs = t(spark, d, "crawl_run").join(t(spark, d, "crawl_job").select("job_id", "starting_url"), "job_id").select("run_id", "job_id", "starting_url")
     c = t(spark, d, "extracted_record").join(runs, "run_id").select("job_id", "starting_url", F.col("page_url").alias("url"), F.col("record_index").alias("depth"), F.col("record_id").alias("arrival"))
-    out = crawl.enqueue(c, F.col("starting_url"), F.lit("site"), 3, 50, ["job_id"])
-    return out.select(F.col("arrival").alias("record_id"), "reject_reason")
+    return crawl.enqueue(c, F.col("starting_url"), F.lit("site"), 3, 50, ["job_id"], seen).select(F.col("arrival").alias("record_id"), "reject_reason")
+
+
+@R.query("ref_G2_enqueue_seen", f"""with c as (select e.record_id, r.job_id, e.record_index as depth, {sql_canonical('e.page_url')} as key, {sql_origin('e.page_url')} = {sql_origin('j.starting_url')} as inside
+   from extracted_record e join crawl_run r on e.run_id = r.run_id join crawl_job j on r.job_id = j.job_id),
+ s as (select distinct job_id, key from c where depth = 0 and key is not null), u as (select job_id, count(*) as used from s group by job_id),
+ k as (select *, case when key is null then 'malformed' when not inside then 'out-of-scope' when depth > 3 then 'past-max-depth' end as early from c),
+ f as (select job_id, key, min(record_id) as first_id from k where early is null and (job_id, key) not in (select job_id, key from s) group by 1, 2),
+ p as (select f.*, row_number() over (partition by f.job_id order by first_id) + coalesce(used, 0) as place from f left join u on f.job_id = u.job_id)
+ select k.record_id, case when early is not null then early when s.key is not null then 'duplicate' when p.place > 50 then 'past-max-pages' when p.first_id <> k.record_id then 'duplicate' end as reject_reason
+ from k left join p on k.job_id = p.job_id and k.key = p.key left join s on k.job_id = s.job_id and k.key = s.key""")
+def _(spark, d):
+    """The same after the first records of all pages were accepted in an earlier level: they count against the cap."""
+    runs = t(spark, d, "crawl_run").join(t(spark, d, "crawl_job").select("job_id"), "job_id").select("run_id", "job_id")
+    first = t(spark, d, "extracted_record").filter("record_index = 0").join(runs, "run_id").select("job_id", U.canonical(F.col("page_url")).alias("canonical_key"))
+    return offered(spark, d, first.filter("canonical_key IS NOT NULL"))
 
 
 @R.query("ref_O3_sorted_params", f"select record_id, array_to_string(list_sort(list_filter(string_split({QUERY.format('page_url')}, '&'), lambda p: p <> '')), '&') as params from extracted_record")
@@ -528,9 +546,10 @@ def _(spark, d):
     return extract.page_regions(t(spark, d, "pages"), "cleaned_html").groupBy("shape").agg(n().alias("regions"), F.count_distinct("page_id").alias("pages"))
 
 
-@R.query("ref_H11_F23_links", "select page_id, case when starts_with(h, '/') then regexp_extract(url, '^(https?://[^/]+)', 1) || h else h end as url from (select page_id, url, unnest(regexp_extract_all(cleaned_html, '<a href=\"([^\"]*)\"', 1)) as h from pages) where h <> ''")
+@R.query("ref_H11_F23_links", "select distinct page_id, case when starts_with(h, '/') then regexp_extract(url, '^(https?://[^/]+)', 1) || h else h end as url from (select page_id, url, unnest(regexp_extract_all(cleaned_html, '<a href=\"([^\"]*)\"', 1)) as h from pages) where h <> ''")
 def _(spark, d):
-    return extract.page_links(t(spark, d, "pages"), "cleaned_html").select("page_id", "url")
+    """The distinct links of every page."""
+    return extract.distinct_links(extract.page_links(t(spark, d, "pages"), "cleaned_html")).select("page_id", "url")
 
 
 @R.query("ref_H13_W14_O2_nav", None)

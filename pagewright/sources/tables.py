@@ -13,11 +13,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared folder (``spark.checkpoint.dir``); only where it is unset, as in tests, a local one."""
+    """Use the cluster's shared folder (``spark.checkpoint.dir``). Where it is unset, a local folder serves a session whose
+    tasks all run on this machine; on a cluster that is an error, as executors could not read what others wrote."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
     shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not shared and not context.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="pagewright-checkpoint-"))
 
 
