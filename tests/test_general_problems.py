@@ -51,20 +51,32 @@ def test_iblt_finds_what_sets_find(spark, width):
     """Buckets far too small for their differences are enlarged, and then compared row by row."""
     rng = random.Random(width)
     snaps = {s: {k: rng.randrange(3) for k in range(200) if rng.random() < 0.8} for s in (1, 2, 3)}
-    rows = [(7, s, 3, k % 2, hash((k, "k")), v * 1000 + 5) for s, kv in snaps.items() for k, v in kv.items()]
-    items = spark.createDataFrame(rows, "series long, seq int, last_seq int, bucket int, kh long, vh long")
+    rows = [(7, s, 3, k % 2, hash((k, "k")), hash((k, 2)), v * 1000 + 5) for s, kv in snaps.items() for k, v in kv.items()]
+    items = spark.createDataFrame(rows, "series long, seq int, last_seq int, bucket int, kh long, kh2 long, vh long")
     want = set()
     for s in (2, 3):
         a, b = snaps[s - 1], snaps[s]
-        want |= {(7, s, hash((k, "k")), "added" if k not in a else "removed" if k not in b else "changed") for k in a.keys() | b.keys() if a.get(k) != b.get(k)}
+        want |= {(7, s, hash((k, "k")), hash((k, 2)), "added" if k not in a else "removed" if k not in b else "changed") for k in a.keys() | b.keys() if a.get(k) != b.get(k)}
     assert found(snapshot_diff.diff_snapshots(items, width=width, rounds=2 if width == 1 else 3)) == want
 
 
 def test_pair_hash_is_sparks(spark):
     rows = [(0, 0), (1, -1), (2**62, -(2**63)), (-5, 77)]
-    df = spark.createDataFrame(rows, "a long, b long").select("a", "b", F.xxhash64("a", "b").alias("h"))
+    df = spark.createDataFrame(rows, "a long, b long").select("a", "b", F.xxhash64("a", "b").alias("h"), F.xxhash64("b", "a", "b").alias("h3"))
     for r in df.collect():
-        assert snapshot_diff.pair_hash(r.a, r.b) == r.h & snapshot_diff.MASK
+        assert snapshot_diff.chain_hash(r.a, r.b) == r.h & snapshot_diff.MASK
+        assert snapshot_diff.chain_hash(r.b, r.a, r.b) == r.h3 & snapshot_diff.MASK
+
+
+def test_buckets_follow_the_rows(spark, tables):
+    """A job whose runs do not say how many pages they have is spread all the same; one that says too much is not."""
+    runs = [{"run_id": f"r{i}", "job_id": "big", "started_at": at(i + 1), "status": "done", "pages_extracted": None} for i in range(2)] + [{"run_id": "s", "job_id": "small", "status": "done", "pages_extracted": 10**6}]
+    rows = [{"record_id": f"{r}-{i}", "run_id": r, "page_url": f"https://a.test/{i}", "template_id": "t", "record_index": 0, "payload": "{}"} for r in ("r0", "r1") for i in range(3000)]
+    d = tables(crawl_run=runs, extracted_record=rows)
+    read = lambda t: spark.read.parquet(f"{d}/{t}.parquet")
+    got = {r.run_id: r.buckets for r in snapshot_diff.with_buckets(snapshot_diff.ordered_runs(read("crawl_run")), read("extracted_record")).collect()}
+    assert got == {"r0": 125, "r1": 125, "s": 1}
+    assert found(snapshot_diff.p1_found(spark, d)) == set()
 
 
 def test_canonical_json():
