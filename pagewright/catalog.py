@@ -13,6 +13,7 @@ def queries() -> dict:
         "p1_found": snapshot_diff.p1_found,
         "p4_found": timestamps.p4_found,
         "p7_found": schema_drift.p7_found,
+        "p7_renames": schema_drift.p7_renames,
         "p7_configs": schema_drift.p7_configs,
         "p7_records": schema_drift.p7_records,
     }

@@ -1,12 +1,14 @@
 """Schemas that drift between versions and runs: one consistent table, and a list of every change.
 
 Two neighbouring versions of a schema are compared per template. Fields that are gone and fields that are new form the
-two sides of a bipartite graph whose edges are scored by the locators of a declared field, type and similarity of names;
-a minimum-cost matching finds the renames. The matched names then become one column. Record columns have no value
-sketches (smallest value hashes): none is built, and no rename is searched among them.
+two sides of a bipartite graph whose edges are scored by sketches, type and similarity of names; a minimum-cost matching
+finds the renames. The sketch of a declared field is its list of locators, that of a delivered column its SKETCH smallest
+value hashes. The matched names then become one column.
 
 All comparisons are made per (job, version, template): a group holds the fields of two versions of one template, which is
-bounded by the size of a program, whatever the number of rows.
+bounded by the size of a program, whatever the number of rows. Only columns that are gone or new are sketched; a sketch is
+made by partial aggregation (distinct hashes, then a top-k that every task cuts before the shuffle), so a column of any
+number of rows sends each task's SKETCH hashes on and no more.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from pagewright.operators.snapshot_diff import ordered_runs
-from pagewright.sources.tables import table
+from pagewright.sources.tables import cut, table
 
 FIELD = T.StructType(
     [T.StructField("template_id", T.StringType()), T.StructField("field_name", T.StringType()), T.StructField("type", T.StringType()), T.StructField("locators", T.ArrayType(T.StringType()))]
@@ -93,6 +95,23 @@ def name_likeness(a: str, b: str) -> float:
     return len(x & y) / len(x | y)
 
 
+#: Smallest value hashes of a column that are kept, and the least share of them that two columns of one meaning have in common.
+SKETCH, LEAST = 64, 0.3
+#: Least share of the locators that two fields of different names have in common to become one column.
+LOCATORS = 0.5
+
+
+def overlap(a, b) -> float:
+    """Share of common values of two sketches (smallest hashes, ascending): of the hashes up to where the shorter view of a
+    full sketch ends, those that both have. Exact for columns of fewer than SKETCH values."""
+    a, b = list(a or ()), list(b or ())
+    if not a or not b:
+        return 0.0
+    end = min(x[-1] for x in (a, b) if len(x) >= SKETCH) if max(len(a), len(b)) >= SKETCH else max(a[-1], b[-1])
+    x, y = {h for h in a if h <= end}, {h for h in b if h <= end}
+    return len(x & y) / len(x | y) if x | y else 0.0
+
+
 def match_fields(gone: dict, new: dict, sketch_likeness, least: float) -> dict[str, str]:
     """New name -> gone name. Sides map a name to (type, sketch); the score is 4 x sketch + type + name, pairs whose sketch is under ``least`` never match."""
     if not gone or not new:
@@ -103,8 +122,53 @@ def match_fields(gone: dict, new: dict, sketch_likeness, least: float) -> dict[s
     return {fresh[i]: old[j] for i, j in enumerate(assign(cost)) if 0 <= j < len(old) and score[i][j] > 0}
 
 
+def match_columns(sides: list) -> list[tuple[str, str, float]]:
+    """(new name, gone name, share of common values) of the columns that are one. ``sides``: (now, name, types, sketch).
+
+    Columns meet only where their sketches share a hash; what meets, directly or through others, is matched together."""
+    gone = {x[1]: (tuple(x[2] or ()), tuple(x[3] or ())) for x in sides if not x[0]}
+    new = {x[1]: (tuple(x[2] or ()), tuple(x[3] or ())) for x in sides if x[0]}
+    holders: dict = {}
+    for name in sorted(gone):
+        for h in gone[name][1]:
+            holders.setdefault(h, []).append((0, name))
+    for name in sorted(new):
+        for h in new[name][1]:
+            if h in holders:
+                holders[h].append((1, name))
+    root: dict = {}
+
+    def top(x):
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for nodes in holders.values():
+        for x in nodes[1:]:
+            root[top(x)] = top(nodes[0])
+    groups: dict = {}
+    for x in sorted(root):
+        groups.setdefault(top(x), []).append(x)
+    out = []
+    for nodes in groups.values():
+        g, n = {k: gone[k] for side, k in nodes if side == 0}, {k: new[k] for side, k in nodes if side == 1}
+        for name, was in match_fields(g, n, overlap, LEAST).items():
+            # One or two values in common say little; then the names must be alike.
+            if min(len(g[was][1]), len(n[name][1])) > 2 or name_likeness(was, name) >= 0.5:
+                out.append((name, was, overlap(g[was][1], n[name][1])))
+    return out
+
+
+def shared_locators(a: tuple, b: tuple) -> float:
+    return len(set(a) & set(b)) / len(set(a) | set(b)) if a and b else 0.0
+
+
 def compare_programs(fields: list) -> list[tuple]:
-    """Changes of one template between two versions. ``fields``: (now, field_name, type, locators)."""
+    """Changes of one template between two versions: (field_name, change_kind, was). ``fields``: (now, field_name, type, locators).
+
+    A field whose locators are those of one that is gone is ``renamed``. Of the others, those that the matching pairs by a
+    good share of their locators stay ``added`` and ``removed``, as their locators changed too, but ``was`` names the pair."""
     now = {f[1]: (f[2], tuple(f[3] or ())) for f in fields if f[0]}
     before = {f[1]: (f[2], tuple(f[3] or ())) for f in fields if not f[0]}
     gone, new = {k: x for k, x in before.items() if k not in now}, {k: x for k, x in now.items() if k not in before}
@@ -113,7 +177,8 @@ def compare_programs(fields: list) -> list[tuple]:
         if same := [g for g in sorted(gone) if gone[g][1] == new[k][1] and new[k][1]]:
             matched[k] = same[0]
     taken = set(matched.values()) | {g for g in gone if any(gone[g][1] == new[k][1] for k in matched)}
-    out = [(k, "renamed", matched[k]) if k in matched else (k, "added", None) for k in new]
+    near = match_fields({k: x for k, x in gone.items() if k not in taken}, {k: x for k, x in new.items() if k not in matched}, shared_locators, LOCATORS)
+    out = [(k, "renamed", matched[k]) if k in matched else (k, "added", near.get(k)) for k in new]
     out += [(k, "removed", None) for k in gone if k not in taken]
     return out + [(k, "retyped", None) for k in now.keys() & before.keys() if now[k][0] != before[k][0]]
 
@@ -122,7 +187,7 @@ _compare_programs = F.udf(lambda fields: compare_programs([tuple(f) for f in fie
 
 
 def config_changes(configs: DataFrame) -> DataFrame:
-    """job_id, version, template_id, field_name, change_kind, was (the old name). Of repeated (job, version) rows one counts."""
+    """job_id, version, template_id, field_name, change_kind, was (the name that a renamed or near field had). Of repeated (job, version) rows one counts."""
     programs = configs.groupBy("job_id", "version").agg(F.max("payload").alias("payload"))
     job = W.partitionBy("job_id").orderBy("version")
     programs = programs.withColumn("next", F.lead("version").over(job)).withColumn("first", F.lag("version").over(job).isNull())
@@ -170,8 +235,8 @@ def run_profiles(records: DataFrame, runs: DataFrame) -> DataFrame:
     return keys.join(runs.select("run_id", "series", "seq", "last_seq"), "run_id")
 
 
-def record_changes(records: DataFrame, runs: DataFrame) -> DataFrame:
-    """job_id, run_id, template_id, field_name, change_kind between neighbouring done runs, for templates with rows in both."""
+def _record_changes(records: DataFrame, runs: DataFrame) -> DataFrame:
+    """series, seq, template_id, key, change_kind, now, before (sets of types) of the columns that changed."""
     keys = run_profiles(records, runs)
     sides = F.array(F.struct(F.col("seq").alias("at"), F.lit(True).alias("now")), F.struct((F.col("seq") + 1).alias("at"), F.lit(False).alias("now")))
     sides = F.filter(sides, lambda s: (s["at"] > 1) & (s["at"] <= F.col("last_seq")))
@@ -186,11 +251,41 @@ def record_changes(records: DataFrame, runs: DataFrame) -> DataFrame:
         .when(F.col("now").isNull(), "removed")
         .when((F.col("now") != F.col("before")) & (F.size("now") > 0) & (F.size("before") > 0), "retyped")
     )
-    both = both.filter("in_both AND key IS NOT NULL").withColumn("change_kind", kind).filter("change_kind IS NOT NULL")
-    both = both.join(runs.select("series", "seq", "run_id"), ["series", "seq"])
+    return both.filter("in_both AND key IS NOT NULL").withColumn("change_kind", kind).filter("change_kind IS NOT NULL").drop("in_both")
+
+
+def record_changes(records: DataFrame, runs: DataFrame) -> DataFrame:
+    """job_id, run_id, template_id, field_name, change_kind between neighbouring done runs, for templates with rows in both."""
+    both = _record_changes(records, runs).join(runs.select("series", "seq", "run_id"), ["series", "seq"])
     return both.select(F.col("series").alias("job_id"), "run_id", "template_id", F.col("key").alias("field_name"), "change_kind")
 
 
+_match_columns = F.udf(lambda sides: match_columns([tuple(x) for x in sides]), T.ArrayType(T.StructType([T.StructField("field_name", T.StringType()), T.StructField("was", T.StringType()), T.StructField("share", T.DoubleType())])), useArrow=True)
+
+
+def record_renames(records: DataFrame, runs: DataFrame) -> DataFrame:
+    """job_id, run_id, seq, template_id, field_name, was, share: columns of a run that hold what another one, gone since the run
+    before, held. Null values say nothing; nested values count by their JSON text."""
+    changed = cut(_record_changes(records, runs).filter("change_kind IN ('added', 'removed')"))
+    template = W.partitionBy("series", "seq", "template_id")
+    has = lambda kind: F.max(F.col("change_kind") == kind).over(template)
+    changed = changed.withColumn("both", has("added") & has("removed")).filter("both")
+    sides = changed.select("series", "seq", "template_id", "key", (F.col("change_kind") == "added").alias("now"), F.coalesce("now", "before").alias("types"))
+    at = sides.select("*", F.when(F.col("now"), F.col("seq")).otherwise(F.col("seq") - 1).alias("at")).join(runs.select("series", F.col("seq").alias("at"), "run_id"), ["series", "at"])
+    # Only the columns asked for are read out of the payloads; a null template is one of its own.
+    marked = F.coalesce(F.concat(F.lit("t"), F.col("template_id")), F.lit("n"))
+    asked = at.select("run_id", marked.alias("template"), "key", "series", "seq", "now")
+    payloads = records.join(asked.select("run_id").distinct(), "run_id", "left_semi").select("run_id", marked.alias("template"), F.explode(F.from_json("payload", "map<string,string>")).alias("key", "value"))
+    hashes = payloads.filter("value IS NOT NULL").join(asked, ["run_id", "template", "key"]).groupBy("series", "seq", "template", "key", "now", F.xxhash64("value").alias("h")).agg(F.count(F.lit(1)).alias("rows"))
+    column = ["series", "seq", "template", "key", "now"]
+    least = hashes.withColumn("place", F.row_number().over(W.partitionBy(*column).orderBy("h"))).filter(F.col("place") <= SKETCH)
+    sketches = least.groupBy(*column).agg(F.array_sort(F.collect_list("h")).alias("sketch"))
+    sides = sides.withColumn("template", marked).join(sketches, column)
+    groups = sides.groupBy("series", "seq", "template").agg(F.first("template_id").alias("template_id"), F.collect_list(F.struct("now", "key", "types", "sketch")).alias("sides"))
+    found = groups.select("series", "seq", "template_id", F.inline(_match_columns("sides"))).join(runs.select("series", "seq", "run_id"), ["series", "seq"])
+    return found.select(F.col("series").alias("job_id"), "run_id", "seq", "template_id", "field_name", "was", "share")
+
+
 def p7_found(spark, sf_dir: str) -> DataFrame:
     """Every change of a declared or delivered field. Null or broken programs and payloads have no fields; repeated
     deliveries of a version count once; empty tables give no rows."""
@@ -201,17 +296,27 @@ def p7_found(spark, sf_dir: str) -> DataFrame:
     return config.unionByName(record)
 
 
+def p7_renames(spark, sf_dir: str) -> DataFrame:
+    """layer, job_id, file_id, template_id, field_name, was: every name that the matching takes for another one, in programs (by
+    locators) and in records (by values). p7_found shows record renames as removed and added, as its definition asks."""
+    config = config_changes(table(spark, sf_dir, "strategy_config")).filter("was IS NOT NULL")
+    config = config.select(F.lit("config").alias("layer"), "job_id", F.col("version").cast("string").alias("file_id"), "template_id", "field_name", "was")
+    record = record_renames(table(spark, sf_dir, "extracted_record"), ordered_runs(table(spark, sf_dir, "crawl_run")))
+    return config.unionByName(record.select(F.lit("record").alias("layer"), "job_id", F.col("run_id").alias("file_id"), "template_id", "field_name", "was"))
+
+
 def p7_configs(spark, sf_dir: str) -> DataFrame:
     """All programs in one layout: a row per (job, version, template, field) with the field's latest name as column_name."""
     configs = table(spark, sf_dir, "strategy_config")
     programs = configs.groupBy("job_id", "version").agg(F.max("payload").alias("payload"))
     fields = programs.select("job_id", "version", F.explode(_program_fields("payload")).alias("f")).select("job_id", "version", "f.*")
-    names = latest_names(config_changes(configs))
+    names = latest_names(config_changes(configs).filter("was IS NOT NULL"))
     return fields.join(names, ["job_id", "template_id", "field_name"], "left").withColumn("column_name", F.coalesce("column_name", "field_name"))
 
 
-def latest_names(changes: DataFrame) -> DataFrame:
-    """job_id, template_id, field_name, column_name: the name that a field came to have through its renames."""
+def latest_names(edges: DataFrame) -> DataFrame:
+    """job_id, template_id, field_name, column_name: the name that a field came to have through its renames (``version``, was,
+    field_name). Renames of a template are as many as its versions' fields."""
 
     def resolve(edges):
         latest: dict = {}
@@ -223,13 +328,21 @@ def latest_names(changes: DataFrame) -> DataFrame:
         return list(latest.items())
 
     pairs = F.udf(resolve, T.ArrayType(T.StructType([T.StructField("field_name", T.StringType()), T.StructField("column_name", T.StringType())])), useArrow=True)
-    edges = changes.filter("change_kind = 'renamed'").groupBy("job_id", "template_id").agg(F.collect_list(F.struct("version", "was", "field_name")).alias("edges"))
+    edges = edges.groupBy("job_id", "template_id").agg(F.collect_set(F.struct("version", "was", "field_name")).alias("edges"))
     return edges.select("job_id", "template_id", F.inline(pairs("edges")))
 
 
 def p7_records(spark, sf_dir: str) -> DataFrame:
-    """All records in one table: payload as a map from each field's latest name to its JSON text; nulls are left out."""
-    names = latest_names(config_changes(table(spark, sf_dir, "strategy_config")))
+    """All records in one table: payload as a map from each field's latest name to its JSON text; nulls are left out. Names are
+    those of the program where it renamed a field, else those that the values' sketches matched between runs. A null template
+    has no renames."""
+    configs = config_changes(table(spark, sf_dir, "strategy_config")).filter("was IS NOT NULL").select("job_id", "template_id", "version", "was", "field_name")
+    crawl_runs = table(spark, sf_dir, "crawl_run")
+    record = record_renames(table(spark, sf_dir, "extracted_record"), ordered_runs(crawl_runs))
+    known = configs.select("job_id", "template_id", "was").distinct()
+    # Ordered after all versions: the program's own word comes first.
+    record = record.join(known, ["job_id", "template_id", "was"], "left_anti").select("job_id", "template_id", (F.lit(1_000_000_000) + F.col("seq")).alias("version"), "was", "field_name")
+    names = latest_names(configs.unionByName(record))
     names = names.groupBy("job_id", "template_id").agg(F.map_from_entries(F.collect_list(F.struct("field_name", "column_name"))).alias("names"))
     runs = table(spark, sf_dir, "crawl_run").select("run_id", "job_id").dropDuplicates(["run_id"])
     records = table(spark, sf_dir, "extracted_record").join(runs, "run_id", "left").join(names, ["job_id", "template_id"], "left")
