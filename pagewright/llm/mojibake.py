@@ -179,7 +179,7 @@ class Repairer:
     #: Log odds before looking: most tokens are clean; valid UTF-8 inside a token is strong evidence of its own.
     PRIOR, SINGLE, STRICT, KEEP = -4.0, -8.0, 7.0, 100_000
     #: Log odds for a chain that turns a strange word into a usual one, and against one that does the opposite, or that makes
-    #: a letter of a sign that stands alone.
+    #: a letter of a sign that stands alone; those say nothing for a chain.
     CASE = 6.0
     #: Log odds of one token that outweigh its neighbours: a sign that no right text has.
     PLAIN = 16.0
@@ -211,9 +211,9 @@ class Repairer:
             before, alone = strange(token), len(token) == 1 and token in SIGNS
             for n, k in enumerate(self.single):
                 if alone:
-                    single[n] -= self.CASE
+                    single[n] = min(single[n], 0) - self.CASE
                 elif (before or single[n] > 0) and (text := invert(token, self.model["names"][k])) is not None and before != strange(text):
-                    single[n] += self.CASE if before else -self.CASE
+                    single[n] = single[n] + self.CASE if before else min(single[n], 0) - self.CASE
         out = best, single
         if len(self.seen) < self.KEEP:
             self.seen[token] = out
