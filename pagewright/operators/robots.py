@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -69,3 +71,16 @@ def robots_decision(urls: DataFrame, files: DataFrame, user_agent: str, policy:
 def bypass_events(decisions: DataFrame, policy: str) -> DataFrame:
     """Audit rows of the rules that were not kept."""
     return decisions.filter("decision = 'bypass'").select(F.lit("robots-bypass").alias("kind"), "url", F.lit(policy).alias("policy"), "rule")
+
+
+def refreshed(cache: DataFrame, origins: DataFrame, answers: DataFrame, now: datetime, ttl: timedelta = timedelta(hours=24)) -> DataFrame:
+    """The robots files of ``origins`` after a look at ``now``: origin, text, expires_at. An entry of ``cache`` holds until it
+    expires; the others are taken from ``answers`` (origin, status, body) anew, and whatever is no 2xx allows all. Entries of
+    other origins stay."""
+    at = F.lit(now.replace(tzinfo=None)).cast("timestamp_ntz")
+    fresh = cache.filter(F.col("expires_at") > at)
+    asked = origins.select("origin").distinct().join(fresh, "origin", "left_anti")
+    text = F.when(F.col("status").between(200, 299), F.col("body"))
+    got = answers.groupBy("origin").agg(F.max(text).alias("text"))
+    new = asked.join(got, "origin", "left").select("origin", F.coalesce("text", F.lit("")).alias("text"), F.lit((now + ttl).replace(tzinfo=None)).cast("timestamp_ntz").alias("expires_at"))
+    return fresh.select("origin", "text", "expires_at").unionByName(new)

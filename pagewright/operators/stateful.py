@@ -34,3 +34,40 @@ def redesign(pages: DataFrame, key: str, failing: str, order: list[str], least:
     """Running share of failing pages and whether it looks like a redesign: at least ``least`` pages, half of them failing."""
     d = running(pages, [key], order, {"pages": F.lit(1).cast("long"), "failing_pages": F.coalesce(failing, F.lit(False)).cast("long")})
     return d.withColumn("likely_redesign", (F.col("pages") >= least) & (F.col("failing_pages") >= share * F.col("pages")))
+
+
+class Gate:
+    """The politeness gate of one origin, over a clock that it moves itself: requests are asked for one after another."""
+
+    def __init__(self, gap_ms: int = 200, slots: int = 2, base_ms: int = 1000, most_ms: int = 60_000):
+        self.gap, self.slots, self.base, self.most = gap_ms, slots, base_ms, most_ms
+        self.running: list[tuple[int, int | None, int | None]] = []  # end, status, Retry-After of what is under way
+        self.now, self.last_end, self.cooldown, self.failures = 0, None, 0, 0
+
+    def _end(self, request: tuple) -> None:
+        end, status, retry = request
+        self.running.remove(request)
+        self.now = max(self.now, end)
+        self.last_end = end
+        if status is None or status in (429, 503):
+            self.failures += 1
+            self.cooldown = end + (min(self.most, self.base * 2 ** (self.failures - 1)) if retry is None else max(0, int(retry)))
+        else:
+            self.failures = self.cooldown = 0
+
+    def go(self, ms: float, status: float | None, retry_ms: float | None = None, delay_ms: float = 0) -> tuple[int, int]:
+        """(start, end) of the next request, which takes ``ms`` and is answered with ``status`` (None: not at all)."""
+        gap = max(self.gap, int(delay_ms))
+        while True:
+            for r in sorted((x for x in self.running if x[0] <= self.now), key=lambda x: x[0]):
+                self._end(r)
+            earliest = max(self.cooldown, 0 if self.last_end is None else self.last_end + gap)
+            if len(self.running) >= self.slots:
+                self.now = min(x[0] for x in self.running)
+            elif self.now < earliest:
+                # What ends before then may put the time off further.
+                self.now = min([earliest, *(x[0] for x in self.running)])
+            else:
+                request = (self.now + int(ms), None if status is None else int(status), retry_ms)
+                self.running.append(request)
+                return self.now, request[0]
