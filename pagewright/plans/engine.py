@@ -76,6 +76,19 @@ class Engine:
         sinks.write_run(path, run.clean, fields, form, manifest, None, run.diff.drop("before", "after") if run.diff is not None else None)
         run.records.write.mode("overwrite").json(f"{path}/all_records.json")
 
+    def previous(self, path: str) -> DataFrame | None:
+        """The records of a run that was written to ``path``, null where there is none; for ``run_job(previous=...)``."""
+        folder = f"{path}/all_records.json"
+        files = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        if not files.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(files):
+            return None
+        return self.spark.read.json(folder)
+
+    def sample_links(self, page: DataFrame, html: str = "html", n: int = 10) -> list[str]:
+        """The first ``n`` distinct links of the same site on a page, in the order in which they stand."""
+        links = extract.distinct_links(extract.page_links(page, html)).join(page.select("page_id", F.col("url").alias("base")), "page_id")
+        return [r.url for r in links.filter(origin(F.col("url")) == origin(F.col("base"))).orderBy("page_id", "pos").limit(n).collect()]
+
     def estimate_scope(self, program: Program, page: DataFrame, html: str = "html") -> dict:
         """What a run would be about: templates, fields, required ones, distinct links of the same site on the entry page."""
         links = extract.page_links(page, html).join(page.select("page_id", F.col("url").alias("base")), "page_id")
@@ -121,20 +134,48 @@ class Schedules:
         self._write([r for r in rows if r["id"] != id_])
         return any(r["id"] == id_ for r in rows)
 
+    def update(self, id_: str, now: datetime, **changes) -> dict:
+        """Change config_path, every, format or out_dir; a new interval counts from the last run, or from now."""
+        rows = self.list()
+        row = next((r for r in rows if r["id"] == id_), None)
+        if row is None or set(changes) - {"config_path", "every", "format", "out_dir"}:
+            raise KeyError(f"no schedule {id_}" if row is None else f"cannot change {', '.join(sorted(changes))}")
+        new = row | changes
+        if "every" in changes:
+            start = datetime.fromisoformat(row["last_run_at"]) if row["last_run_at"] else now
+            new["next_run_at"] = (start + parse_every(new["every"])).isoformat()
+        self._write([new if r["id"] == id_ else r for r in rows])
+        return new
+
+    def run_now(self, id_: str, run, now: datetime | None = None) -> str | None:
+        """Run one schedule whether it is due or not; its error, or None."""
+        rows = [r for r in self.list() if r["id"] == id_]
+        if not rows:
+            raise KeyError(f"no schedule {id_}")
+        return self._run(rows[0], run, now or datetime.now(timezone.utc))
+
+    def run_daemon(self, run, stop, wait, now=lambda: datetime.now(timezone.utc)) -> int:
+        """Run what is due until ``stop()``; ``wait(seconds)`` passes the time to the next one, a minute at most. How many ran."""
+        n = 0
+        while not stop():
+            n += len(self.run_due(run, now()))
+            times = [datetime.fromisoformat(r["next_run_at"]) for r in self.list()]
+            wait(max(0.0, min([60.0, *((t - now()).total_seconds() for t in times)])) or 1.0)
+        return n
+
     def due(self, now: datetime) -> list[dict]:
         return [r for r in self.list() if datetime.fromisoformat(r["next_run_at"]) <= now]
 
     def run_due(self, run, now: datetime | None = None) -> list[tuple[str, str | None]]:
         """Run what is due with ``run(row)``: (id, error or None) each; only a run that ended well moves on."""
         now = now or datetime.now(timezone.utc)
-        out = []
-        for row in self.due(now):
-            try:
-                run(row)
-            except Exception as e:  # noqa: BLE001 - a schedule must not stop the others
-                out.append((row["id"], f"{type(e).__name__}: {e}"))
-                continue
-            done = row | {"last_run_at": now.isoformat(), "next_run_at": (now + parse_every(row["every"])).isoformat()}
-            self._write([done if r["id"] == row["id"] else r for r in self.list()])
-            out.append((row["id"], None))
-        return out
+        return [(row["id"], self._run(row, run, now)) for row in self.due(now)]
+
+    def _run(self, row: dict, run, now: datetime) -> str | None:
+        try:
+            run(row)
+        except Exception as e:  # noqa: BLE001 - a schedule must not stop the others
+            return f"{type(e).__name__}: {e}"
+        done = row | {"last_run_at": now.isoformat(), "next_run_at": (now + parse_every(row["every"])).isoformat()}
+        self._write([done if r["id"] == row["id"] else r for r in self.list()])
+        return None

@@ -36,8 +36,20 @@ class FileSecrets:
     def get(self, name: str) -> str | None:
         return self._all().get(name)
 
+    def names(self) -> list[str]:
+        return sorted(self._all())
+
+    def remove(self, name: str) -> bool:
+        values = self._all()
+        known = values.pop(name, None) is not None
+        if known:
+            self._write(values)
+        return known
+
     def put(self, name: str, value: str) -> None:
-        values = self._all() | {name: value}
+        self._write(self._all() | {name: value})
+
+    def _write(self, values: dict) -> None:
         with os.fdopen(os.open(self.path, os.O_WRONLY | os.O_CREAT | os.O_TRUNC, 0o600), "w", encoding="utf-8") as f:
             json.dump(values, f)
 

@@ -55,9 +55,11 @@ def write_run(path: str, records: DataFrame, fields: list[str], form: str = "jso
             part.write.mode("overwrite").json(f"{path}/{name}")
 
 
-def read_manifests(spark, path: str) -> DataFrame:
-    """All manifests under a folder; malformed ones are passed over."""
-    return spark.read.option("mode", "DROPMALFORMED").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").json(path)
+def read_manifests(spark, path: str, folder: str | None = None) -> DataFrame:
+    """All manifests under a folder; malformed ones are passed over. ``folder``: the name of the folders that hold them, one
+    below each run's, as ``write_run`` makes them."""
+    reader = spark.read.option("mode", "DROPMALFORMED").option("pathGlobFilter", "*.json")
+    return reader.json(f"{path}/*/{folder}") if folder else reader.option("recursiveFileLookup", "true").json(path)
 
 
 def dashboard_html(rows: list[dict], totals: dict) -> str:
