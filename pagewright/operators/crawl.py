@@ -60,15 +60,15 @@ def null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 
 def crawl_levels(seeds: DataFrame, edges: DataFrame, max_depth: int) -> DataFrame:
     """node, depth: breadth-first search from ``seeds`` (node) over ``edges`` (src, dst), the least depth of every node
-    reached. Each level is an anti-join against what was seen, cut off through the shared folder."""
-    seen = cut(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
-    level = seen
+    reached. Each level is an anti-join against the levels before, each of which is written once through the shared folder."""
+    level = cut(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
+    seen = level
     for depth in range(1, max_depth + 1):
         found = level.join(edges, level["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
-        level = cut(found.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)))
+        level = cut(found.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
         if level.isEmpty():
             break
-        seen = cut(seen.unionByName(level))
+        seen = seen.unionByName(level)
     return seen
 
 

@@ -114,7 +114,7 @@ def crawl_site(
             aborted = True
             done["skipped"].append(spark.createDataFrame([("(remaining)", "aborted")], "url string, reason string"))
             break
-        seen = cut(seen.unionByName(taken.select("crawl", "canonical_key")))
+        seen = seen.unionByName(level.select(F.lit("c").alias("crawl"), "canonical_key"))  # levels are written once each
         decided = cut(robots.robots_decision(level, files, user_agent, policy))
         done["skipped"].append(decided.filter("decision = 'skip'").select("url", F.lit("robots-disallow").alias("reason")))
         for r in decided.filter("decision = 'bypass'").select("url", "rule").orderBy("url").collect():  # max_pages rows at most

@@ -74,5 +74,5 @@ def walk_sitemaps(seeds: DataFrame, files: DataFrame, max_depth: int = 3) -> Dat
         level = cut(index_entries(here.select("xml"), "xml").select(F.col("loc").alias("url")).distinct().join(seen, "url", "left_anti"))
         if level.isEmpty():
             break
-        seen = cut(seen.unionByName(level))
+        seen = seen.unionByName(level)  # levels are written once each
     return found.groupBy(sitemap_key(F.col("loc")).alias("key")).agg(F.min_by(F.struct("loc", "lastmod", "depth"), F.struct("depth", "loc")).alias("e")).select("key", "e.*")

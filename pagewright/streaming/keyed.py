@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def first_seen(urls: DataFrame, key: str = "canonical_key") -> DataFrame:
-    """Each key once, in the order of arrival; the state is one entry a key."""
-    return urls.dropDuplicates([key])
+def first_seen(urls: DataFrame, key: str = "canonical_key", time: str | None = None, late: str = "1 day") -> DataFrame:
+    """Each key once, in the order of arrival; the state is one entry a key. With ``time`` an entry is let go ``late`` after its
+    key was last due, so the state does not grow for ever; a key that comes again later than that counts anew."""
+    if time is None:
+        return urls.dropDuplicates([key])
+    return urls.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
 
 
 def tumbling_counts(events: DataFrame, time: str, width: str, late: str, *keys: str) -> DataFrame:
@@ -24,15 +28,24 @@ def sessions(events: DataFrame, time: str, gap: str, late: str, key: str) -> Dat
     return events.withWatermark(time, late).groupBy(F.session_window(time, gap), key).agg(F.count(F.lit(1)).alias("n"))
 
 
+def in_order(batches: Iterator[pd.DataFrame], *marks: str) -> list[np.ndarray]:
+    """seq and the boolean columns ``marks`` of a key's rows in a micro-batch, by seq. Nine bytes a row are all that is kept of
+    them; how many there are is up to the source's own limit for a micro-batch."""
+    parts = [(b["seq"].to_numpy(dtype="int64"), *(b[m].fillna(False).to_numpy(dtype=bool) for m in marks)) for b in batches]
+    columns = [np.concatenate(c) for c in zip(*parts)] or [np.empty(0, dtype="int64")] * (1 + len(marks))
+    order = np.argsort(columns[0], kind="stable")
+    return [c[order] for c in columns]
+
+
 def streaks(requests: DataFrame) -> DataFrame:
     """origin, seq, streak, cooldown_ms of ``requests`` (origin, seq, failed): the state of an origin is its current streak.
     Within a micro-batch rows are taken by seq."""
 
     def each(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         (streak,) = state.get if state.exists else (0,)
-        for batch in [pd.concat(list(batches)).sort_values("seq")]:
+        for seqs, marks in [in_order(batches, "failed")]:
             rows = []
-            for seq, failed in zip(batch["seq"], batch["failed"], strict=True):
+            for seq, failed in zip(seqs, marks, strict=True):
                 streak = streak + 1 if failed else 0
                 rows.append((key[0], int(seq), streak, min(60_000, 1000 * 2 ** (streak - 1)) if streak else 0))
             yield pd.DataFrame(rows, columns=["origin", "seq", "streak", "cooldown_ms"])
@@ -46,9 +59,8 @@ def budget(attempts: DataFrame, limit: int) -> DataFrame:
 
     def each(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         (used,) = state.get if state.exists else (0,)
-        batch = pd.concat(list(batches)).sort_values("seq")
         rows = []
-        for seq in batch["seq"]:
+        for seq in in_order(batches)[0]:
             rows.append((key[0], int(seq), "attempt" if used < limit else "budget-exhausted"))
             used = min(limit, used + 1)
         state.update((used,))
@@ -62,9 +74,8 @@ def redesigns(pages: DataFrame, least: int = 4, share: float = 0.5) -> DataFrame
 
     def each(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n, bad, told = state.get if state.exists else (0, 0, False)
-        batch = pd.concat(list(batches)).sort_values("seq")
         rows = []
-        for seq, failing in zip(batch["seq"], batch["failing"], strict=True):
+        for seq, failing in zip(*in_order(batches, "failing"), strict=True):
             n, bad = n + 1, bad + bool(failing)
             if not told and n >= least and bad >= share * n:
                 told = True

@@ -49,3 +49,21 @@ def test_redesign_is_told_once(spark, stream):
 def test_first_seen(spark, stream):
     source, run = stream
     assert sorted(r.k for r in run(keyed.first_seen(source, "k"))) == ["k0", "k1", "k2"]
+
+
+def test_seen_keys_are_let_go(spark, tmp_path):
+    """With a time column a key counts anew once its entry is too old."""
+    from datetime import datetime
+
+    from pagewright.streaming.keyed import first_seen
+
+    schema = "canonical_key string, at timestamp"
+    source, out = str(tmp_path / "in"), []
+    for day, keys in ((1, "aab"), (2, "a"), (9, "c"), (10, "ad")):
+        spark.createDataFrame([(k, datetime(2025, 1, day)) for k in keys], schema).coalesce(1).write.mode("append").parquet(source)
+        stream = first_seen(spark.readStream.schema(schema).parquet(source), time="at", late="2 days")
+        query = stream.writeStream.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).foreachBatch(lambda df, _: out.extend(df.collect())).start()
+        query.awaitTermination(60)
+        query.stop()
+    got = sorted((r.canonical_key, r.at.day) for r in out)
+    assert got == [("a", 1), ("a", 10), ("b", 1), ("c", 9), ("d", 10)]
