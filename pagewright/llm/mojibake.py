@@ -280,7 +280,9 @@ def fit(*tables: DataFrame) -> dict:
         step = max(1, texts.count() // (20 * TRAIN_ROWS))
         texts = texts.filter((F.pmod(F.xxhash64("text"), F.lit(step)) == 0) & F.rlike("text", F.lit(r"[^\x00-\x7f]")))
         lines = texts.select(F.explode(F.split("text", r"[<>\n]+")).alias("text")).filter(F.rlike("text", F.lit(r"[^\x00-\x7f]")) & (F.length("text") <= TRAIN_SIGNS))
-        found += [r.text for r in lines.withColumn("h", F.xxhash64("text")).orderBy("h", "text").limit(TRAIN_ROWS).collect()]
+        least = lines.withColumn("h", F.xxhash64("text")).orderBy("h", "text").limit(TRAIN_ROWS)
+        # Gathered by a task: on its own, a collected top-k sends every task's rows to the driver.
+        found += sorted(least.agg(F.collect_list("text").alias("texts")).first().texts)
     return train(found)
 
 
