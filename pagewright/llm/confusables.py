@@ -89,7 +89,8 @@ class Spelling:
             for c, x in zip(here, there, strict=True):
                 self.like.setdefault(x, {LATIN: x}).setdefault(name, c)
         self.style = styled()
-        self.styles = re.compile("[" + "".join(map(re.escape, self.style)) + "]")
+        # Ranges, as a class of a thousand single letters is slow; what of them is no styled letter is left as it is.
+        self.styles = re.compile("[\u0250-\u02af\u1d00-\u1d7f\u2100-\u214f\ufb00-\ufb06\U0001d400-\U0001d7ff]")
         self.known: dict[str, tuple[frozenset, frozenset]] = {}
 
     def zero_width(self, text: str) -> list[int]:
@@ -174,7 +175,7 @@ class Spelling:
             out.append("letter")
         if targets - {LATIN}:
             out.append("other-letter")
-        if self.styles.search(text):
+        if self.styles.search(text) and any(c in self.style for c in self.styles.findall(text)):
             out.append("style")
         return out
 
@@ -185,7 +186,7 @@ class Spelling:
             for start, end, new, _ in reversed(self.borrowed(text)):
                 text = text[:start] + new + text[end:]
         if "style" in kinds:
-            text = self.styles.sub(lambda m: self.style[m[0]], text)
+            text = self.styles.sub(lambda m: self.style.get(m[0], m[0]), text)
         if "width" in kinds:
             text = self.wide.sub(lambda m: unicodedata.normalize("NFKC", m[0]), text)
         if "zero-width" in kinds:
